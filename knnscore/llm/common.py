@@ -89,3 +89,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(cur, nodes.node == cur.u, "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+#: Quantiles between which range_groups() makes equal steps.
+EDGES = 128
+
+
+def range_groups(ids: DataFrame, rows: int) -> Column:
+    """A non-decreasing map from column id to group numbers, for groups of about `rows` rows; nulls get the least.
+
+    Quantiles of the identifiers (one sketch over that column alone), and equal steps between two of them: its
+    size doesn't grow with the data. Identifiers that cluster within a 128th of the rows give uneven groups.
+    """
+    q = ", ".join(str(i / EDGES) for i in range(EDGES + 1))
+    row = ids.agg(F.count("*").alias("n"), F.expr(f"approx_percentile(id, array({q}), 10000)").alias("q")).first()
+    edges = sorted(set(row.q or [0]))
+    few = max(1, row.n // rows)
+    if few < len(edges) - 1:
+        edges = edges[:: -(-(len(edges) - 1) // few)]
+    steps = max(1, few // max(1, len(edges) - 1))
+    at, low = F.col("id"), F.array(*map(F.lit, edges))
+    k = F.greatest(F.lit(1), F.size(F.filter(low, lambda e: e <= at)))
+    lo, hi = F.element_at(low, k), F.element_at(low, F.least(k + 1, F.lit(len(edges))))
+    within = F.floor((at.cast("double") - lo.cast("double")) / F.greatest(F.lit(1.0), hi.cast("double") - lo.cast("double")) * steps)
+    step = F.greatest(F.lit(0), F.least(F.lit(steps - 1), within))
+    return F.when(at.isNull(), F.lit(-1)).otherwise(k * steps + step).cast("long")

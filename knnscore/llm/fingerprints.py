@@ -18,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, range_groups, table
 
 SEEDS = (42, 7)
 #: Documents that one window group should hold, about.
 GROUP_ROWS = 1024
-EDGES = 128
 
 
 def canonical(text: Column) -> Column:
@@ -67,21 +66,6 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return joined.select("id", show(F.col("digest"), F.coalesce("variant", F.lit(0))).alias("fingerprint"))
 
 
-def _group(ids: DataFrame) -> Column:
-    """A monotone map from identifier to window group, about equal in rows: quantiles, and equal steps between two of them."""
-    q = [i / EDGES for i in range(EDGES + 1)]
-    row = ids.agg(F.count("*").alias("n"), F.expr(f"approx_percentile(id, array({', '.join(map(str, q))}), 10000)").alias("q")).first()
-    edges = sorted(set(row.q or [0]))
-    steps = max(1, row.n // (GROUP_ROWS * max(1, len(edges) - 1)))
-    at = F.col("id")
-    low = F.array(*map(F.lit, edges))
-    k = F.greatest(F.lit(1), F.size(F.filter(low, lambda e: e <= at)))
-    lo, hi = F.element_at(low, k), F.element_at(low, F.least(k + 1, F.lit(len(edges))))
-    within = F.floor((at.cast("double") - lo.cast("double")) / F.greatest(F.lit(1.0), hi.cast("double") - lo.cast("double")) * steps)
-    step = F.greatest(F.lit(0), F.least(F.lit(steps - 1), within))
-    return F.when(at.isNull(), F.lit(-1)).otherwise((k * steps + step)).cast("long")
-
-
 def edit(text: Column, n: Column, following: Column) -> Column:
     """The last floor(n/2) code points replaced by the first as many of the following text."""
     half = F.floor(n / 2).cast("int")
@@ -98,7 +82,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     own = rows.withColumn("canon", canonical(F.col("text")))
     own = own.select("id", "text", F.char_length("text").cast("long").alias("n"), digest(F.col("canon")).alias("digest"), F.sha2("canon", 256).alias("sha"))
-    own = own.withColumn("grp", _group(docs.select(F.col(id_col).alias("id"))))
+    own = own.withColumn("grp", range_groups(docs.select(F.col(id_col).alias("id")), GROUP_ROWS))
     by = Window.partitionBy("grp").orderBy(F.asc_nulls_first("id"), "text")
     near = own.withColumns({
         "next_text": F.lead("text").over(by), "next_digest": F.lead("digest").over(by), "first": F.row_number().over(by) == 1,

@@ -8,11 +8,15 @@ from .chat import OP1_SQL, op1_chat_formatting
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .fingerprints import op3_document_fingerprints
 from .mixing import OP6_SQL, op6_mixing
+from .packing import op5_best_fit_packing
+from .token_files import op2_token_files
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_token_files": op2_token_files,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing": op6_mixing,
 }
 
