@@ -9,6 +9,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .fingerprints import op3_document_fingerprints
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op5_best_fit_packing
+from .simhash import op10_simhash_near_dedup
 from .token_files import op2_token_files
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing": op6_mixing,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
