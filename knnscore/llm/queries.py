@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP1_SQL, op1_chat_formatting
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .fingerprints import op3_document_fingerprints
+from .language import op8_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op5_best_fit_packing
+from .pii import op9_pii
 from .simhash import op10_simhash_near_dedup
 from .token_files import op2_token_files
 
@@ -19,6 +21,8 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing": op6_mixing,
+    "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
