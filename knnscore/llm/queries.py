@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import corpus_pipeline
 
 from .chat import OP1_SQL, op1_chat_formatting
 from .exact_dedup import OP4_SQL, op4_exact_dedup
@@ -12,6 +12,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .packing import op5_best_fit_packing
 from .pii import op9_pii
 from .simhash import op10_simhash_near_dedup
+from .substrings import op7_suffix_array_dedup
 from .token_files import op2_token_files
 
 QUERIES = {
@@ -21,9 +22,11 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing": op6_mixing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
