@@ -3,8 +3,7 @@
 Every 23-bit vector lies within 3 bits of exactly one of 4,096 codewords. The keys of a vector are the
 codewords within 4 bits: its own one, and five more where its own is 3 bits away. Two vectors that
 differ in 2 bits or fewer have a midpoint 1 bit from each, whose codeword is within 4 bits of both: they
-share a key. For 1 differing bit fewer keys do: the two vectors differ in parity, so it is enough that
-even vectors take all keys and odd ones only their own codeword.
+share a key. If they differ in 1 bit or none, each one's own codeword is among the other's keys.
 """
 
 from __future__ import annotations
@@ -51,13 +50,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return linear(single[:12]), linear(single[12:]), patterns
 
 
-def keys(v: np.ndarray, one_bit: bool = False) -> np.ndarray:
-    """(n, 6) indices of the codewords that are v's keys, -1 where there are fewer. one_bit: keys that serve 1 differing bit only."""
+def keys(v: np.ndarray) -> np.ndarray:
+    """(n, 6) indices of the codewords that are v's keys, its own one first, -1 where there are fewer."""
     low, high, patterns = _tables()
     v = np.asarray(v, dtype=np.int64)
     flips = patterns[low[v & 0xFFF] ^ high[v >> 12]]
-    out = np.where(flips >= 0, (v[:, None] ^ flips) >> CHECK, -1)
-    if one_bit:
-        odd = (np.bitwise_count(v) & 1).astype(bool)
-        out[odd, 1:] = -1
-    return out
+    return np.where(flips >= 0, (v[:, None] ^ flips) >> CHECK, -1)

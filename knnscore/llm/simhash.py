@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 #: (first bit, bits) of the segments of 64 bits.
-SEGMENTS = ((0, 23), (23, 23), (46, 18))
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
 def four_bit_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +86,12 @@ def four_bit_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Let the segments differ in a, b, c bits, at most 4 in all. If one of them is 0, another is 2 or less: keys
     of the first segment's value and a codeword for up to 2 bits of the other. If none is 0, two of them are
-    1: keys of two codewords for up to 1 bit each.
+    1: keys of a codeword of each, where one is the segment's own and the other any of its codewords. Of
+    two such fingerprints x and y, (own of y, own of x) is among the keys of both.
     """
     fp = np.asarray(fp).astype(np.uint64)
     value = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-    two, one = [golay.keys(v) for v in value], [golay.keys(v, one_bit=True) for v in value]
+    two = [golay.keys(v) for v in value]
     rows, keys, tag = [], [], 0
     for i in range(3):
         for j in range(3):
@@ -101,9 +102,10 @@ def four_bit_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             keys.append((tag << 40) | (value[i][r] << 12) | two[j][r, k])
             tag += 1
     for i, j in ((0, 1), (0, 2), (1, 2)):
-        r, k, m = np.nonzero((one[i] >= 0)[:, :, None] & (one[j] >= 0)[:, None, :])
-        rows.append(r)
-        keys.append((tag << 40) | (one[i][r, k] << 12) | one[j][r, m])
+        r, k = np.nonzero(two[j] >= 0)
+        r2, k2 = np.nonzero(two[i][:, 1:] >= 0)
+        rows += [r, r2]
+        keys += [(tag << 40) | (two[i][r, 0] << 12) | two[j][r, k], (tag << 40) | (two[i][r2, k2 + 1] << 12) | two[j][r2, 0]]
         tag += 1
     return np.concatenate(rows), np.concatenate(keys)
 
