@@ -200,7 +200,7 @@ KEY_BITS, VERIFY_BITS = 256, 512
 FILTER_WORDS = 5
 #: Jaccard similarity of 0.8 is a cosine of 8/9, 77.6 of 512 bits with a deviation of 8.1: this is 2.3 deviations more.
 VERIFY_LIMIT = 96
-TABLES, EXACT_BITS = 22, 12
+TABLES, EXACT_BITS = 28, 14
 
 
 def _spread(hashes: np.ndarray, word: int) -> np.ndarray:
@@ -263,16 +263,19 @@ def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def keep_one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each group linked by similar shingles one row stays. All columns are kept."""
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each group linked by similar shingles one document stays. All columns are kept.
+
+    A document is known by a hash of its identifier and text, so docs isn't copied; rows that agree in both stay or go together.
+    """
     uid, gone = fresh(docs, "uid", "gone")
-    marked = table(docs.withColumn(uid, F.monotonically_increasing_id()), "marked")
-    prints = table(wide_fingerprints(marked, uid, text_col), "wide")
+    marked = docs.withColumn(uid, F.xxhash64(id_col, text_col))
+    prints = table(wide_fingerprints(marked, uid, text_col).dropDuplicates(["node"]), "wide")
     values = [c for c in prints.columns if c.startswith("v")]
 
     def distance(a: str, b: str) -> Column:
         return sum((F.bit_count(F.col(f"{a}_{v}").bitwiseXOR(F.col(f"{b}_{v}"))) for v in values[1:]), F.bit_count(F.col(f"{a}_{values[0]}").bitwiseXOR(F.col(f"{b}_{values[0]}"))))
 
     linked = link(keyed(prints, "keys", wide_keys, KEY_BITS // 8), distance, VERIFY_LIMIT, prints.select("node", *values))
-    drop = linked.where("node <> component").select(F.col("node").alias(gone))
+    drop = table(linked.where("node <> component").select(F.col("node").alias(gone)), "gone")
     return marked.join(drop, F.col(uid) == F.col(gone), "left_anti").select(*docs.columns)
