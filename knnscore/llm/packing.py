@@ -5,7 +5,7 @@ packed in groups of bounded size, each on its own: best-fit decreasing first, th
 the underfull bins. The search takes the emptiest bin and moves pieces out of it, exchanges one of its
 pieces for a shorter one of another bin, or for two that together are shorter, always raising the sum
 of squared fills, until the bin is empty or no step helps. What a group leaves underfull is unpacked and
-packed again with other groups' leftovers, in rounds, until these fit one group.
+packed again with other groups' leftovers, in rounds, until these fit one group or hardly shrink.
 
 A null text counts as empty, a single end id. Rows that repeat an identifier are documents of their own.
 Empty input gives an empty result. Other columns are not read. The packing depends on the set of pieces
@@ -210,17 +210,21 @@ def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES
     full = pieces.where(F.col("length") == limit)
     # whole pieces alone fill a sequence; their numbers are negative
     done = full.select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, level = pieces.where(F.col("length") < limit), 0
+    rest, level, before = pieces.where(F.col("length") < limit), 0, None
     while True:
-        groups = -(-rest.count() // group_pieces)
+        n = rest.count()
+        groups = -(-n // group_pieces)
+        # a round that hardly settles anything is the last: pieces that leave gaps do so in any group
+        last = groups <= 1 or before is not None and n > 0.9 * before
+        before = n
         first = level << 56
 
         mixed = rest.withColumn("mix", F.xxhash64(F.lit(level), "id", "piece", "start", "ids_crc32"))
         mixed = mixed.withColumn("grp", F.pmod("mix", F.lit(max(1, groups))))
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-        packed = table(mixed.groupBy("grp").applyInPandas(_packer(kept, limit, groups <= 1, first), f"{kinds}, sequence_id long, offset long, left boolean"), "packed")
+        packed = table(mixed.groupBy("grp").applyInPandas(_packer(kept, limit, last, first), f"{kinds}, sequence_id long, offset long, left boolean"), "packed")
         done = done.unionByName(packed.where("not left").select(*kept))
-        if groups <= 1:
+        if last:
             return done
         rest, level = packed.where("left").select(*pieces.columns), level + 1
 
