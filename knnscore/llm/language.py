@@ -30,7 +30,8 @@ from .common import documents, fresh
 SAMPLE_PER_LANG, MAX_LANGS = 400, 200
 BUCKETS, DIM = 1 << 16, 16
 GRAMS = (2, 3, 4)
-EPOCHS, BATCH, RATE = 6, 16, 4.0
+#: A small sample is passed over more often, for STEPS batches at least.
+EPOCHS, STEPS, BATCH, RATE = 6, 600, 16, 4.0
 TRAIN_CHARS = 3000
 REJECT_SHARE, MAX_THRESHOLD = 0.0005, 0.5
 UNKNOWN = "und"
@@ -118,8 +119,9 @@ def train(rows: list[tuple[str, str]], seed: int = 42) -> Model:
     emb, out, bias = (rng.normal(0, 0.1, (BUCKETS, DIM))), rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
     gold = np.array([langs.index(y) for _, y in rows])
     # training takes one window of a text a step, of varied length, so that short texts are learned too; prediction takes all of it
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(used)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         rng.shuffle(used)
         for at in range(0, len(used), BATCH):
             batch = used[at : at + BATCH]
@@ -142,7 +144,7 @@ def train(rows: list[tuple[str, str]], seed: int = 42) -> Model:
     model = Model(langs, (emb @ out).astype(np.float32), bias, 1.0, 0.0)
     if len(spare):
         z, y = np.stack([model.logits(rows[i][0]) for i in spare]), gold[spare]
-        model.temperature = min((float(-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()), t) for t in np.geomspace(0.05, 5, 41))[1]
+        model.temperature = min((float(-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()), t) for t in np.geomspace(0.25, 5, 31))[1]
         p = _softmax(z / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y]
         if len(right):

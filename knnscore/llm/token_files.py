@@ -75,6 +75,8 @@ class EliasFano:
 
     def select(self, i: int) -> int:
         """Value i from the sampled place before it."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         at = int(self.samples[i // SAMPLE])
         left, byte = i % SAMPLE, at >> 3
         bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")[at & 7 :]
