@@ -215,7 +215,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES
         n = rest.count()
         groups = -(-n // group_pieces)
         # a round that hardly settles anything is the last: pieces that leave gaps do so in any group
-        last = groups <= 1 or before is not None and n > 0.9 * before
+        last = groups <= 1 or before is not None and n > 0.98 * before
         before = n
         first = level << 56
 
