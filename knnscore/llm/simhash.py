@@ -79,34 +79,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 #: (first bit, bits) of the segments of 64 bits.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Bits of a segment's lower half; the upper one has the rest.
+HALF = 11
 
 
 def four_bit_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): fingerprints within 4 bits share a key.
+    """(row, key): fingerprints within 4 bits share a key. A key stands for about 29 bits, a fingerprint has 96 on average.
 
     Let the segments differ in a, b, c bits, at most 4 in all. If one of them is 0, another is 2 or less: keys
     of the first segment's value and a codeword for up to 2 bits of the other. If none is 0, two of them are
-    1: keys of a codeword of each, where one is the segment's own and the other any of its codewords. Of
-    two such fingerprints x and y, (own of y, own of x) is among the keys of both.
+    1 and the third is 2 or less: a segment with one differing bit has an equal half, so keys of a half of
+    each of two segments and a codeword of the third.
     """
     fp = np.asarray(fp).astype(np.uint64)
     value = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-    two = [golay.keys(v) for v in value]
+    halves = [(v & ((1 << HALF) - 1), v >> HALF) for v in value]
+    near = [golay.keys(v) for v in value]
+    found = [np.nonzero(codes >= 0) for codes in near]
     rows, keys, tag = [], [], 0
-    for i in range(3):
-        for j in range(3):
-            if i == j:
-                continue
-            r, k = np.nonzero(two[j] >= 0)
-            rows.append(r)
-            keys.append((tag << 40) | (value[i][r] << 12) | two[j][r, k])
-            tag += 1
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        r, k = np.nonzero(two[j] >= 0)
-        r2, k2 = np.nonzero(two[i][:, 1:] >= 0)
-        rows += [r, r2]
-        keys += [(tag << 40) | (two[i][r, 0] << 12) | two[j][r, k], (tag << 40) | (two[i][r2, k2 + 1] << 12) | two[j][r2, 0]]
+
+    def put(exact: np.ndarray, j: int) -> None:
+        nonlocal tag
+        r, k = found[j]
+        rows.append(r)
+        keys.append((tag << 40) | (exact[r] << 12) | near[j][r, k])
         tag += 1
+
+    for j in range(3):
+        one, other = (i for i in range(3) if i != j)
+        put(value[one], j)
+        put(value[other], j)
+        for x in halves[one]:
+            for y in halves[other]:
+                put(x << HALF | y, j)
     return np.concatenate(rows), np.concatenate(keys)
 
 
