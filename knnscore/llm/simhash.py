@@ -8,9 +8,10 @@ key are candidates, and each candidate pair is verified on the whole fingerprint
 
 A key's bucket is never expanded into all its pairs. First every member is compared with three of the
 bucket: the first, the last and the one that meets most others over all buckets. That settles buckets
-of up to three. In larger ones, only members of different components so far are compared, and only
-links are emitted; a bucket of copies is one component by then and drops out. No link that joins two
-components is lost, so components are those of all links.
+of up to three. Larger ones that still hold several components are compared with a few random members,
+in rounds; at last, only members of different components are compared, and only links are emitted. A
+bucket of copies is one component by then and drops out. No link that joins two components is lost, so
+components are those of all links.
 
 Null text counts as empty. A text with no words has fingerprint zero; one with fewer words than a
 shingle is a single shingle. Rows that repeat an identifier are documents of their own. A null identifier
@@ -133,6 +134,32 @@ def keyed(nodes: DataFrame, source: str, keys_of: Callable[[np.ndarray], tuple[n
     return nodes.select("node", F.col(source).alias("value")).mapInArrow(run, "key long, node long")
 
 
+#: Random members of each bucket that still holds several components which are compared with all of it, and how often.
+CENTRES, CENTRE_ROUNDS = 4, 3
+
+
+def links(members: DataFrame, others: DataFrame, apart: Column, distance: Callable[[str, str], Column], limit: int) -> DataFrame:
+    """(a, b) components of members (key, node, comp, values) and others (the same as b_<name>) that a link joins within a bucket."""
+    a = members.select(*(F.col(c).alias(f"a_{c}") for c in members.columns))
+    met = a.join(others, (F.col("a_key") == F.col("b_key")) & apart & (distance("a", "b") <= limit))
+    return met.select(F.least("a_comp", "b_comp").alias("a"), F.greatest("a_comp", "b_comp").alias("b")).distinct()
+
+
+def merged(pairs: DataFrame) -> DataFrame | None:
+    """(old, new) component for every component in pairs (a, b); None without a pair."""
+    pairs = table(pairs, "joined")
+    if pairs.isEmpty():
+        return None
+    return table(components(pairs), "over").select(F.col("node").alias("old"), F.col("component").alias("new"))
+
+
+def renamed(named: DataFrame, over: DataFrame) -> DataFrame:
+    """named (node, component) after the change of over (old, new); a node without a link so far is a component of its own."""
+    moved = named.join(over, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    single = over.join(named, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return moved.union(single)
+
+
 def link(keys: DataFrame, distance: Callable[[str, str], Column], limit: int, payload: DataFrame | None = None) -> DataFrame:
     """(node, component) of nodes with a link to another: `distance` of their values is at most `limit`.
 
@@ -167,16 +194,21 @@ def link(keys: DataFrame, distance: Callable[[str, str], Column], limit: int, pa
     if payload is not None:
         rest = rest.join(payload.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd")).drop("nd")
     rest = table(rest, "mixed")
-    a, b = (rest.select(*(F.col(c).alias(f"{s}_{c}") for c in rest.columns)) for s in "ab")
-    more = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_comp") < F.col("b_comp")) & (distance("a", "b") <= limit))
-    joined = table(more.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "joined")
-    if joined.isEmpty():
-        return first
-    # components of components; a node without a link so far is its own
-    over = table(components(joined), "over").select(F.col("node").alias("old"), F.col("component").alias("new"))
-    moved = first.join(over, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-    single = over.join(first, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
-    return moved.union(single)
+    for turn in range(CENTRE_ROUNDS):
+        # random members of a mixed bucket meet all of it: who is near many of a component joins it here, by a few links
+        member = F.struct(*rest.columns)
+        drawn = F.array_distinct(F.array(*(F.min_by(member, F.xxhash64(F.lit(turn * CENTRES + i), "key", "node")) for i in range(CENTRES))))
+        centres = rest.groupBy("key").agg(drawn.alias("drawn")).select(F.explode("drawn").alias("c")).select(*(F.col(f"c.{c}").alias(f"b_{c}") for c in rest.columns))
+        over = merged(links(rest, centres, F.col("a_comp") != F.col("b_comp"), distance, limit))
+        if over is None:
+            break
+        first = table(renamed(first, over), "components")
+        rest = rest.join(over, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new")
+        mixed = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("key").alias("k"))
+        rest = table(rest.join(mixed, F.col("key") == F.col("k"), "left_semi"), "mixed")
+    both = rest.select(*(F.col(c).alias(f"b_{c}") for c in rest.columns))
+    over = merged(links(rest, both, F.col("a_comp") < F.col("b_comp"), distance, limit))
+    return first if over is None else renamed(first, over)
 
 
 def near_components(prints: DataFrame) -> DataFrame:
