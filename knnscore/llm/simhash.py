@@ -160,11 +160,12 @@ def renamed(named: DataFrame, over: DataFrame) -> DataFrame:
     return moved.union(single)
 
 
-def link(keys: DataFrame, distance: Callable[[str, str], Column], limit: int, payload: DataFrame | None = None) -> DataFrame:
+def link(keys: DataFrame, distance: Callable[[str, str], Column], limit: int, payload_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of nodes with a link to another: `distance` of their values is at most `limit`.
 
-    keys: (key, node), each pair once. payload: (node, value columns), which `distance(a, b)` reads as
-    a_<name> and b_<name>; without it, a_node and b_node are the values.
+    keys: (key, node), each pair once. payload_of(nodes) gives (node, value columns) of the nodes that share a
+    key with another, which `distance(a, b)` reads as a_<name> and b_<name>; without it, a_node and b_node
+    are the values.
     """
 
     def ends(pairs: DataFrame) -> DataFrame:
@@ -176,6 +177,7 @@ def link(keys: DataFrame, distance: Callable[[str, str], Column], limit: int, pa
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     groups = groups.withColumnRenamed("key", "k")
     members = table(keys.join(groups, F.col("key") == F.col("k")).select("key", "node", "n", "lo", "hi"), "members")
+    payload = None if payload_of is None else table(payload_of(members.select("node").distinct()), "values")
     large = members.where("n > 3")
     score = large.groupBy("node").agg(F.sum("n").alias("score"))
     hubs = large.select("key", "node").join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("leader"))
@@ -230,13 +232,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Near-duplicates by shingle similarity, for filtering: longer fingerprints.
+# Near-duplicates by shingle similarity, for filtering: longer fingerprints for candidates, whole sets of shingles to verify.
 
-#: Bits of the fingerprint of word pairs, which the keys are made of, and of the one of shingles, which verifies.
-KEY_BITS, VERIFY_BITS = 256, 512
+#: Bits of the fingerprint of word pairs, which the keys are made of.
+KEY_BITS = 256
 FILTER_WORDS = 5
-#: Jaccard similarity of 0.8 is a cosine of 8/9, 77.6 of 512 bits with a deviation of 8.1: this is 2.3 deviations more.
-VERIFY_LIMIT = 96
+#: Documents are linked from this Jaccard similarity of their sets of shingles on: a fraction in lowest terms.
+LEAST_SIMILARITY = (4, 5)
 TABLES, EXACT_BITS = 28, 14
 
 
@@ -262,24 +264,52 @@ def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of FILTER_WORDS words; a text without words has the single one 0."""
+    from xxhash import xxh64_intdigest
+
+    words = split_words(text)
+    h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    return np.unique(_runs(h, FILTER_WORDS)) if len(words) else np.zeros(1, dtype=np.uint64)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, s array of long): the sets of shingles, whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [shingles(t.as_py()).astype(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).mapInArrow(run, "node long, s array<long>")
+
+
+def dissimilar(a: str, b: str) -> Column:
+    """0 where the sets <a>_s and <b>_s have LEAST_SIMILARITY or more, by whole numbers; 1 otherwise."""
+    num, den = LEAST_SIMILARITY
+    x, y = F.col(f"{a}_s"), F.col(f"{b}_s")
+    n, m, both = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+    # both / (n + m - both) >= num / den; the sizes alone rule most others out
+    return F.when(F.least(n, m) * den < F.greatest(n, m) * num, 1).when(both * (num + den) >= (n + m) * num, 0).otherwise(1)
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, keys binary, v0..v7 long): majority bits of the distinct word pairs, and of the distinct shingles."""
-    n = VERIFY_BITS // 64
-    kinds = "node long, keys binary, " + ", ".join(f"v{i} long" for i in range(n))
+    """(node, keys binary): majority bits of the distinct word pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            keys, verify = [], np.zeros((b.num_rows, n), dtype=np.int64)
-            for i, text in enumerate(b.column(1)):
+            keys = []
+            for text in b.column(1):
                 words = split_words(text.as_py())
                 h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
                 keys.append(wide_fingerprint(np.unique(_runs(h, 2)), KEY_BITS))
-                verify[i] = np.frombuffer(wide_fingerprint(np.unique(_runs(h, FILTER_WORDS)), VERIFY_BITS), dtype="<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *(pa.array(verify[:, k].copy()) for k in range(n))], names=["node", "keys", *(f"v{k}" for k in range(n))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["node", "keys"])
 
-    return docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
+    return docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).mapInArrow(run, "node long, keys binary")
 
 
 def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,11 +338,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     uid, gone = fresh(docs, "uid", "gone")
     marked = docs.withColumn(uid, F.xxhash64(id_col, text_col))
     prints = table(wide_fingerprints(marked, uid, text_col).dropDuplicates(["node"]), "wide")
-    values = [c for c in prints.columns if c.startswith("v")]
 
-    def distance(a: str, b: str) -> Column:
-        return sum((F.bit_count(F.col(f"{a}_{v}").bitwiseXOR(F.col(f"{b}_{v}"))) for v in values[1:]), F.bit_count(F.col(f"{a}_{values[0]}").bitwiseXOR(F.col(f"{b}_{values[0]}"))))
+    def sets(nodes: DataFrame) -> DataFrame:
+        met = marked.select(uid, text_col).join(nodes, F.col(uid) == F.col("node"), "left_semi")
+        return shingle_sets(met, uid, text_col).dropDuplicates(["node"])
 
-    linked = link(keyed(prints, "keys", wide_keys, KEY_BITS // 8), distance, VERIFY_LIMIT, prints.select("node", *values))
+    linked = link(keyed(prints, "keys", wide_keys, KEY_BITS // 8), dissimilar, 0, sets)
     drop = table(linked.where("node <> component").select(F.col("node").alias(gone)), "gone")
     return marked.join(drop, F.col(uid) == F.col(gone), "left_anti").select(*docs.columns)
