@@ -8,7 +8,8 @@ equal values get equal pseudonyms in all documents, different ones different one
 can invert it. Candidates that fail validation stay as they are.
 
   email     letters and digits before the @ (cases and punctuation stay, the domain stays)
-  card      13 to 19 digits with a right check digit; the check digit is computed anew
+  card      13 to 19 digits with a right check digit, also in a longer run of groups of digits (all of the run if it is
+            valid, else groups in the usual shapes, else the longest); the check digit is computed anew
   phone     international numbers; the country code stays
   address   IPv4, octet by octet
   ssn       social security numbers of valid areas, groups and serials
@@ -38,9 +39,12 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "address": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "phone": r"\+\d{1,3} ?\(\d{2,4}\) ?\d{3}[ \-]?\d{4}(?!\d)|\+\d{1,3}[ \-]\d{2,4}[ \-]\d{3,4}[ \-]?\d{3,4}(?!\d)",
-    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Groups of digits that may hold card numbers, searched between the others; the bound is Java's stack, not a card's length.
+CARD_RUN = r"(?<![\d\-])\d(?:[ \-]?\d){12,400}(?![\d\-])"
+#: How card numbers are usually grouped.
+CARD_SHAPE = r"^(?:\d+|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{4,5})$"
 #: What every candidate holds: texts without it are not searched.
 HINT = r"[0-9@]"
 
@@ -115,6 +119,48 @@ def _card(m: Column, key: str) -> Column:
     return F.when(luhn(m) == 0, F.concat(new, F.pmod(10 - luhn(F.concat(new, F.lit("0"))), F.lit(10)).cast("string")))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _cards_of_run(run: Column, key: str) -> Column:
+    """(text, n): a run of groups of digits with its n card numbers replaced; they begin and end with a group and don't overlap."""
+
+    def replaced(tokens: Column) -> Column:
+        # digits and separators alternate: groups are the even tokens
+        last = F.size(tokens) - 1
+        joined = lambda i, j: F.array_join(F.slice(tokens, i + 1, F.greatest(F.lit(0), j - i)), "")
+
+        def spans(i: Column) -> Column:
+            ends = F.sequence(i, F.least(i + 36, last), F.lit(2))
+            return F.transform(ends, lambda j: F.struct(i.alias("i"), j.alias("j"), joined(i, j + 1).alias("m")))
+
+        digits = lambda x: F.char_length(F.regexp_replace(x.m, "[^0-9]", ""))
+        valid = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(2)), spans)), lambda x: digits(x).between(13, 19) & (luhn(x.m) == 0))
+        best = F.array_sort(F.transform(valid, lambda x: F.struct(
+            ((x.i > 0) | (x.j < last)).alias("part"), (~x.m.rlike(CARD_SHAPE)).alias("odd"), (-digits(x)).alias("short"), x.i.alias("i"), x.j.alias("j"), x.m.alias("m"))))
+        none = F.filter(best, lambda x: F.lit(False))
+        picked = F.aggregate(best, none, lambda acc, x: F.when(F.exists(acc, lambda y: (x.i <= y.j) & (y.i <= x.j)), acc).otherwise(F.concat(acc, F.array(x))))
+        ordered = F.array_sort(F.transform(picked, lambda x: F.struct(x.i.alias("i"), x.j.alias("j"), _card(x.m, key).alias("new"))))
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+        step = lambda acc, x: F.struct(F.concat(acc.text, joined(acc["at"], x.i), x.new).alias("text"), (x.j + 1).alias("at"), (acc.n + 1).alias("n"))
+        return F.aggregate(ordered, start, step, lambda acc: F.struct(F.concat(acc.text, joined(acc["at"], last + 1)).alias("text"), acc.n.alias("n")))
+
+    return _let(F.regexp_extract_all(run, F.lit(r"\d+|[ \-]"), 0), replaced)
+
+
+def _cards(gap: Column, key: str) -> Column:
+    """(text, n): a text with its n card numbers replaced."""
+
+    def replaced(runs: Column) -> Column:
+        parts = F.zip_with(F.split(gap, CARD_RUN, -1), runs, lambda g, r: F.concat(g, F.coalesce(r.text, F.lit(""))))
+        return F.struct(F.array_join(parts, "").alias("text"), F.aggregate(runs, F.lit(0), lambda n, r: n + r.n).alias("n"))
+
+    runs = F.transform(F.regexp_extract_all(gap, F.lit(CARD_RUN), 0), lambda r: _cards_of_run(r, key))
+    return F.when(gap.rlike(CARD_RUN), _let(runs, replaced)).otherwise(F.struct(gap.alias("text"), F.lit(0).alias("n")))
+
+
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     return F.concat(characters(local, "email", key), F.substr(m, F.char_length(local) + 1))
@@ -161,12 +207,12 @@ def _date(m: Column, key: str) -> Column:
 
 
 REPLACE: dict[str, Callable[[Column, str], Column]] = {
-    "email": _email, "date": _date, "ssn": _ssn, "address": _address, "phone": _phone, "card": _card,
+    "email": _email, "date": _date, "ssn": _ssn, "address": _address, "phone": _phone,
 }
 
 
 def pseudonym(match: Column, key: str = KEY) -> Column:
-    """The pseudonym of one candidate, or null where it isn't valid."""
+    """The pseudonym of one candidate other than a card number, or null where it isn't valid."""
     out = F.lit(None).cast("string")
     for kind in reversed(REPLACE):
         out = F.when(match.rlike(f"^(?:{PATTERNS[kind]})$"), REPLACE[kind](match, key)).otherwise(out)
@@ -175,15 +221,16 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with the text column replaced and, last, the number of values replaced (n_private)."""
-    (found, count) = fresh(docs, "found", "n_private")
+    found, gaps, count = fresh(docs, "found", "gaps", "n_private")
     text = F.col(text_col)
-    matches = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0))
-    out = docs.withColumn(found, F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
-    gaps = F.split(text, ANY, -1)
-    joined = F.zip_with(gaps, F.col(found), lambda g, f: F.concat(g, F.coalesce(f.new, f.old, F.lit(""))))
+    hint = text.rlike(HINT)
+    out = docs.withColumn(found, F.transform(F.when(hint, F.regexp_extract_all(text, F.lit(ANY), 0)), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
+    out = out.withColumn(gaps, F.transform(F.when(hint, F.split(text, ANY, -1)), lambda g: _cards(g, key)))
+    joined = F.zip_with(F.col(gaps), F.col(found), lambda g, f: F.concat(g.text, F.coalesce(f.new, f.old, F.lit(""))))
+    n = F.size(F.filter(found, lambda f: f.new.isNotNull())) + F.aggregate(F.col(gaps), F.lit(0), lambda a, g: a + g.n)
     return out.select(
-        *(F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.greatest(F.lit(0), F.coalesce(F.size(F.filter(found, lambda f: f.new.isNotNull())), F.lit(0))).alias(count),
+        *(F.coalesce(F.array_join(joined, ""), text).alias(c) if c == text_col else F.col(c) for c in docs.columns),
+        F.coalesce(n, F.lit(0)).alias(count),
     )
 
 
