@@ -8,16 +8,17 @@ are found in three steps.
    bytes. Those whose hash occurs at one place only, and not again within WINDOW bytes, are dropped.
 2. Contexts. All windows over an anchor lie in its context, at most WINDOW - CORE bytes to the left and
    WINDOW to the right. Where a context occurs at several places, all its windows repeat. One context of
-   each kind goes on, if its anchor has others.
-3. Suffix arrays. Contexts of an anchor meet in one task; suffixes are ordered by prefix doubling. In suffix
-   order, neighbours that agree in WINDOW bytes are a run. A suffix's longest previous factor, from the
-   previous and next smaller positions in that order, is WINDOW or longer just when its run holds a
-   smaller position: these are the later copies; with keep="first" only they are removed. With keep="none",
-   as op7 asks, all of a run go if it holds two places or more.
+   each kind goes on, if its anchor has others. Contexts are of one kind if they agree in 128 bits of SHA-256.
+3. Suffix arrays. Contexts of an anchor meet in one task. Their suffixes are sorted in full, by prefix doubling;
+   the common prefix of neighbours comes from the ranks of all its levels. A suffix's longest previous factor
+   is the longer of its common prefixes with the nearest suffixes of a smaller position before and after it in
+   suffix order. Where it is WINDOW or longer, the window is a later copy; with keep="first" only these are
+   removed. With keep="none", as op7 asks, so are first copies: those with a following factor as long, which
+   is the mirror image, from the nearest larger positions.
 
 An anchor with more than MAX_CONTEXTS kinds of context is split: each of its contexts becomes SPLIT ones
 whose core is longer and whose windows are a part of the former's. At the end core and window are
-one and counting settles it, so no task ever holds a hot anchor's contexts.
+one and counting of kinds settles it, so no task ever holds a hot anchor's contexts.
 
 Equal texts are handled once, by digest. Null text counts as empty. Identifiers aren't used, repeated rows
 are documents of their own. Very long texts are hashed in blocks. Empty input gives an empty result. Other
@@ -43,7 +44,7 @@ MAX_CONTEXTS, SPLIT = 2500, 4
 ARRAY_BYTES = 1_500_000
 _BLOCK, _PLACE_BITS, _ODD = 1 << 17, 18, 0x2545F
 _BASE = 0x9E3779B97F4A7C15
-ITEM = "h binary, p long, core int, key long, ctx long, l int, r int, own boolean"
+ITEM = "h binary, p long, core int, key long, ctx binary, l int, r int, own boolean"
 
 
 @cache
@@ -109,13 +110,13 @@ def _hash(raw: bytes, seed: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def context(raw: bytes, p: int, core: int, window: int) -> tuple[int, int, int]:
-    """(hash, bytes to the left, bytes from p on) of what all windows over raw[p : p + core] cover."""
+def context(raw: bytes, p: int, core: int, window: int) -> tuple[bytes, int, int]:
+    """(digest, bytes to the left, bytes from p on) of what all windows over raw[p : p + core] cover."""
     left, right = min(p, window - core), min(len(raw) - p, window)
-    return _hash(raw[p - left : p + right], left), left, right
+    return hashlib.sha256(left.to_bytes(4, "little") + raw[p - left : p + right]).digest()[:16], left, right
 
 
-def split_context(text: bytes, left: int, core: int, window: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+def split_context(text: bytes, left: int, core: int, window: int) -> Iterator[tuple[int, int, int, bytes, int, int]]:
     """(shift, core, key, ctx, left, right) of the parts of a context (text, with its core at `left`): longer cores, fewer windows each."""
     spare = window - core
     step = -(-(spare + 1) // SPLIT)
@@ -130,43 +131,125 @@ def split_context(text: bytes, left: int, core: int, window: int) -> Iterator[tu
             yield -x, size, _hash(text[start : start + size], 1000 + j), ctx, near, right
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the substrings of `length` bytes (a power of two, 8 or more) at every place, in lexicographic order, by prefix doubling."""
-    padded = np.concatenate([data, np.zeros(length, dtype=np.uint8)])
-    n = len(data)
-    value = np.zeros(n + length - 7, dtype=np.uint64)
-    for j in range(8):
-        value = (value << np.uint64(8)) | padded[j : j + len(value)]
-    rank, size = np.unique(value, return_inverse=True)[1].astype(np.uint64), 8
-    while size < length:
-        pair = (rank[: len(rank) - size] << np.uint64(32)) | rank[size:]
-        rank, size = np.unique(pair, return_inverse=True)[1].astype(np.uint64), size * 2
-    return rank
+#: Symbols of 9 bits (a byte plus 1; 0 ends a context) in a 64-bit number.
+_PACK = 7
+#: Rounds of pointer jumping before what is left goes through a stack.
+JUMPS = 48
+
 
+def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All places in the order of their next `length` symbols, and for each level k the ranks of _PACK * 2 ** k symbols at every place.
+
+    Prefix doubling; a level sorts again only the places that tie so far. A rank is the first place in order of those that tie.
+    """
+    n = len(symbols)
+    padded = np.concatenate([symbols, np.zeros(_PACK, dtype=symbols.dtype)]).astype(np.uint64)
+    value = np.zeros(n, dtype=np.uint64)
+    for j in range(_PACK):
+        value = (value << np.uint64(9)) | padded[j : j + n]
+    order = np.argsort(value)
+    value = value[order]
+    first = np.ones(n, dtype=bool)
+    first[1:] = value[1:] != value[:-1]
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
+    levels, size = [rank], _PACK
+    while size < length:
+        slots = np.flatnonzero(~(first & np.append(first[1:], True)))
+        if not len(slots):
+            break
+        at = order[slots]
+        ahead = np.zeros(len(at), dtype=np.int64)
+        inside = at + size < n
+        ahead[inside] = rank[at[inside] + size] + 1
+        name = (rank[at].astype(np.int64) << 32) | ahead
+        by = np.argsort(name)
+        at, name = at[by], name[by]
+        order[slots] = at
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = name[1:] != name[:-1]
+        first[slots] = new
+        rank = rank.copy()
+        rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
+        levels.append(rank)
+        size *= 2
+    return order, levels
+
+
+def common_prefixes(symbols: np.ndarray, levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at places a[i] and b[i] share, below twice the longest level's length."""
+    n, out = len(symbols), np.zeros(len(a), dtype=np.int64)
+    sizes = [_PACK << k for k in range(len(levels))]
+    for size, names in [*zip(sizes[::-1], levels[::-1], strict=True), *[(1, symbols)] * (_PACK - 1)]:
+        x, y = a + out, b + out
+        inside = np.maximum(x, y) < n
+        same = np.zeros(len(a), dtype=bool)
+        same[inside] = names[x[inside]] == names[y[inside]]
+        out[same] += size
+    return out
 
-def window_runs(data: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at `starts` in suffix order, as indices, and where in it the runs of suffixes with `window` bytes in common begin."""
-    size = 1 << (window.bit_length() - 1)
-    rank = prefix_ranks(data, size)
-    # the first `size` bytes and the last `size` of the window order and name all of it
-    name = (rank[starts] << np.uint64(32)) | rank[starts + window - size]
-    order = np.argsort(name, kind="stable")
-    named = name[order]
-    return order, np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]])) if len(named) else np.zeros(0, dtype=np.int64)
 
+def _nearest_smaller(lcp: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Common prefix with the nearest entry before, in suffix order, whose place is smaller; 0 where a prefix of 0 comes between.
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, places: np.ndarray, window: int = WINDOW, keep: str = "none") -> np.ndarray:
-    """Which of the windows at `starts` occur at another of their `places` (keep="none") or at a smaller one (keep="first")."""
+    lcp[i] is that of entries i - 1 and i. Pointers jump over entries of larger places: between an entry and where its
+    pointer shows, all places are larger than its own.
+    """
+    at = np.where(lcp > 0, np.arange(len(lcp)) - 1, -1)
+    least = lcp.copy()
+    todo = np.flatnonzero(at >= 0)
+    for _ in range(JUMPS):
+        to = at[todo]
+        todo, to = (x[places[to] > places[todo]] for x in (todo, to))
+        if not len(todo):
+            break
+        at[todo], least[todo] = at[to], np.minimum(least[todo], least[to])
+        todo = todo[at[todo] >= 0]
+    starts = np.flatnonzero(lcp == 0)
+    for run in np.unique(np.searchsorted(starts, todo, side="right")).tolist():
+        begin, end = int(starts[run - 1]), int(starts[run]) if run < len(starts) else len(lcp)
+        stack: list[tuple[int, int]] = []
+        for i in range(begin, end):
+            here, seen = int(lcp[i]), int(places[i])
+            while stack and stack[-1][0] > seen:
+                here = min(here, stack.pop()[1])
+            at[i], least[i] = (i, here) if stack else (-1, 0)
+            stack.append((seen, here))
+    return np.where(at >= 0, least, 0)
+
+
+def factors(lcp: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Longest previous factor of every entry in suffix order: the longest prefix it shares with an entry of a smaller place."""
+    behind = np.zeros_like(lcp)
+    behind[1:] = lcp[:0:-1]
+    return np.maximum(_nearest_smaller(lcp, places), _nearest_smaller(behind, places[::-1])[::-1])
+
+
+def repeated_windows(symbols: np.ndarray, starts: np.ndarray, room: np.ndarray, places: np.ndarray, window: int = WINDOW, keep: str = "none") -> np.ndarray:
+    """Ascending places among those given whose window occurs at another one too (keep="none") or at a smaller one (keep="first").
+
+    symbols: contexts, each with a 0 behind it; the suffix at starts[i] has room[i] bytes, `window` or more, and lies at places[i]
+    of all texts. A place that several contexts hold counts once. Factors shorter than a window are taken for none.
+    """
     if not len(starts):
-        return np.zeros(0, dtype=bool)
-    order, runs = window_runs(data, starts, window)
-    at = places[order]
-    least, most = np.minimum.reduceat(at, runs), np.maximum.reduceat(at, runs)
-    sizes = np.diff(np.append(runs, len(at)))
-    hit = np.repeat(least != most, sizes) if keep == "none" else at > np.repeat(least, sizes)
-    out = np.zeros(len(starts), dtype=bool)
-    out[order] = hit
-    return out
+        return np.zeros(0, dtype=np.int64)
+    places, one = np.unique(places, return_index=True)
+    starts, room = starts[one], room[one]
+    order, levels = suffix_array(symbols, max(window, int(room.max())))
+    slot = np.empty(len(symbols), dtype=np.int64)
+    slot[order] = np.arange(len(symbols))
+    by = np.argsort(slot[starts])
+    starts, room, places = starts[by], room[by], places[by]
+    lcp = np.zeros(len(starts), dtype=np.int64)
+    lcp[1:] = np.minimum(common_prefixes(symbols, levels, starts[:-1], starts[1:]), np.minimum(room[:-1], room[1:]))
+    lcp[lcp < window] = 0
+    # only suffixes with a neighbour that shares a window have a factor of that length
+    near = (lcp > 0) | np.append(lcp[1:] > 0, False)
+    lcp, places = lcp[near], places[near]
+    found = factors(lcp, places)
+    if keep == "none":
+        found = np.maximum(found, factors(lcp, -places))
+    return np.sort(places[found >= window])
 
 
 def spans_of(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -179,22 +262,20 @@ def spans_of(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def _solve(rows: list[tuple], window: int, keep: str) -> Iterator[tuple[bytes, int, int]]:
     """Spans (h, start, stop) of repeated windows of contexts (h, place of the context's first byte, bytes)."""
-    data = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8)
-    docs: dict[bytes, int] = {h: i for i, h in enumerate(sorted({r[0] for r in rows}))}
-    starts, places, owner, base = [], [], [], 0
-    for i, (h, first, text) in enumerate(rows):
+    names = sorted({r[0] for r in rows})
+    docs = {h: i for i, h in enumerate(names)}
+    symbols, starts, room, places, base = [], [], [], [], 0
+    for h, first, text in rows:
         k = np.arange(len(text) - window + 1)
+        symbols += [np.frombuffer(text, dtype=np.uint8).astype(np.uint16) + np.uint16(1), np.zeros(1, dtype=np.uint16)]
         starts.append(base + k)
+        room.append(len(text) - k)
         places.append((docs[h] << 40) + first + k)
-        owner.append(np.full(len(k), i))
-        base += len(text)
-    starts, places, owner = map(np.concatenate, (starts, places, owner))
-    hit = repeated_windows(data, starts, places, window, keep)
-    owner, places = owner[hit], places[hit]
-    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-    for i, (h, _, _) in enumerate(rows):
-        for s, e in spans_of(places[cuts[i] : cuts[i + 1]] & ((1 << 40) - 1), window):
-            yield h, s, e
+        base += len(text) + 1
+    hit = repeated_windows(*map(np.concatenate, (symbols, starts, room, places)), window, keep)
+    for s, e in spans_of(hit, window):
+        at = s & ((1 << 40) - 1)
+        yield names[s >> 40], at, at + e - s
 
 
 def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -203,7 +284,7 @@ def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
 
 
 _ITEM_NAMES = [x.split()[0] for x in ITEM.split(", ")]
-_ITEM_KINDS = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+_ITEM_KINDS = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
 _SPAN_NAMES, _SPAN_KINDS = ["h", "start", "stop"], [pa.binary(), pa.int64(), pa.int64()]
 
 
@@ -333,7 +414,9 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, core: int = CORE, keep: str = "none") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row; kept may not be valid UTF-8 at its seams.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, text) of every row.
+
+    kept may not be valid UTF-8 at its seams; text is kept without the bytes of characters that were cut there.
 
     keep="first" also keeps every copy of a text that occurs as a whole more than once: exact dedup is another operator's job.
     """
@@ -349,8 +432,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(by, F.col("h") == F.col("h_"), "left").select("id", "text", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part, out = b.slice(i, 256), []
@@ -361,12 +444,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         left.append(raw[at:x])
                         at = y
                     kept = b"".join([*left, raw[at:]])
-                    out.append((key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                    out.append((key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")))
                 yield _batch(names, kinds, out)
 
-    return joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
