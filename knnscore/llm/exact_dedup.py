@@ -1,11 +1,13 @@
 """Exact dedup by a tree merge of sorted digest runs (native).
 
-Every partition's digests are a run. In each binomial round the runs exchange: the next few bits of a
-row's slot, at first those of its run, are replaced by bits of its digest, and rows that meet under one
-(slot, digest) are sorted and merged, keeping the winning identifier and the count. After the last
-round a slot holds all rows of its digests and nothing else. A digest that a third of all rows share
-shrinks to one row per run before the first exchange, so no task ever gets its rows. The 64-bit sort
-key is verified at every level by the full SHA-256 of the text, which is part of the grouping key.
+Every slot, at first an input partition, has a run of digests. In each binomial round slots exchange: the
+next few bits of a row's slot are replaced by bits of its digest, so 2 ** FAN_IN_BITS runs meet in one slot. Rows
+move by slot alone; a slot is one sorted run in one task, where equal digests lie together and are merged to one
+row with the winning identifier and the count. After the last round a slot holds all rows of its digests and
+nothing else. A digest that a third of all rows share is spread over all slots of the first round with its first
+bits, and is one row in each from then on, so no task ever gets its rows. The 64-bit sort key is verified at
+every level by the full SHA-256 of the text, which is part of what is sorted and merged by; texts of equal SHA-256
+count as equal and aren't compared again.
 
 Null text counts as empty. A null identifier loses to any other. Rows that agree in identifier and
 text are told apart by their place in the input: exactly one of a group is kept. Empty input gives an
@@ -38,16 +40,16 @@ def merge_runs(digests: DataFrame, keep: str = "max", fan_in_bits: int = FAN_IN_
     rounds = math.ceil(bits / fan_in_bits)
     pick = F.max if keep == "max" else F.min
     best = F.struct("id", "uid")
-    # uid holds the partition in its upper 31 bits
-    runs = digests.select(F.shiftrightunsigned("uid", 33).alias("slot"), "key", "sha", best.alias("best"), F.lit(1).cast("long").alias("n"))
+    # uid holds the partition in its upper 31 bits and its rows' numbers in the others; few partitions are dealt to all slots
+    start = F.xxhash64(F.shiftrightunsigned("uid", 33), F.shiftrightunsigned("uid", 10)).bitwiseAND(F.lit((1 << bits) - 1))
+    runs = digests.select(start.alias("slot"), "key", "sha", best.alias("best"), F.lit(1).cast("long").alias("n"))
     for k in range(rounds):
-        mask = ((1 << fan_in_bits) - 1) << (k * fan_in_bits)
-        # the last round also clears what is left of long run numbers
-        stays = F.col("slot").bitwiseAND(F.lit(~mask if k + 1 < rounds else (1 << (k * fan_in_bits)) - 1))
-        slot = stays.bitwiseOR(F.col("key").bitwiseAND(F.lit(mask)))
-        runs = runs.select(slot.alias("slot"), "key", "sha", "best", "n").groupBy("slot", "key", "sha").agg(
-            pick("best").alias("best"), F.sum("n").alias("n")
-        )
+        low = k * fan_in_bits
+        mask = ((1 << min(fan_in_bits, bits - low)) - 1) << low
+        slot = F.col("slot").bitwiseAND(F.lit(~mask)).bitwiseOR(F.col("key").bitwiseAND(F.lit(mask)))
+        moved = runs.select(slot.alias("slot"), "key", "sha", "best", "n").repartition(1 << bits, "slot")
+        # the grouping needs no exchange of its own: it merges what the slot's sorted run brings together
+        runs = moved.sortWithinPartitions("slot", "key", "sha").groupBy("slot", "key", "sha").agg(pick("best").alias("best"), F.sum("n").alias("n"))
     return runs.select("key", "sha", "best", "n")
 
 
@@ -62,13 +64,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns: of equal texts the one with the largest (or smallest) identifier."""
-    sha, key, uid, best = fresh(docs, "sha", "key", "uid", "best")
+    """The rows of docs that stay, with all their columns: of equal texts the one with the largest (or smallest) identifier.
+
+    docs isn't copied: its rows are found again by identifier and digest. Of rows that agree in both any one stays.
+    """
+    sha, best, same = fresh(docs, "sha", "best", "same")
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    marked = table(docs.withColumn(sha, F.unhex(F.sha2(text, 256))).withColumn(key, F.xxhash64(sha)).withColumn(uid, F.monotonically_increasing_id()), "marked")
-    runs = marked.select(F.col(id_col).alias("id"), F.col(uid).alias("uid"), F.col(key).alias("key"), F.col(sha).alias("sha"))
-    stay = merge_runs(runs, keep).select(F.col("best.uid").alias(best))
-    return marked.join(stay, F.col(uid) == F.col(best), "left_semi").select(*docs.columns)
+    stay = table(merge_runs(table(_digests(docs, id_col, text), "digests"), keep).select(F.col("best.id").alias(best), F.col("sha").alias(same)), "stay")
+    marked = docs.withColumn(sha, F.unhex(F.sha2(text, 256)))
+    kept = marked.join(stay, (F.col(sha) == F.col(same)) & F.col(id_col).eqNullSafe(F.col(best)), "left_semi")
+    return kept.dropDuplicates([id_col, sha]).select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
