@@ -35,17 +35,6 @@ def squared_distance(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda s, t: s + t, (one(x, y) for x, y in zip(a, b, strict=True)))
 
 
-def squared_distance_arrays(a: Column, b: Column) -> Column:
-    """The same of array columns, for few rows."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("long") - y.cast("long")) * (x.cast("long") - y.cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-
-
-def float_distance_arrays(a: Column, b: Column) -> Column:
-    """Squared distance of FLOAT arrays, summed in single precision from the first dimension on."""
-    sq = F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("float"))
-    return F.aggregate(sq, F.lit(0.0).cast("float"), lambda s, x: (s + x).cast("float"))
-
-
 def first_greatest(values: Column) -> Column:
     """0-based place of the first greatest element."""
     return F.array_position(values, F.array_max(values)) - 1

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knnscore.operators.ivf import Index
-from knnscore.operators.knn import knn_ivf
+from knnscore.operators.knn import QUERY_BLOCK, knn_ivf
 
 K = 5
 #: Votes that are looked at again, and votes from which on a transaction is denied (a score of 0.6).
@@ -63,11 +63,20 @@ def decide(voted: DataFrame) -> DataFrame:
     return voted.withColumns({"fraud_score": score(f), "approved": approved(f)})
 
 
-def two_stage(queries: DataFrame, index: Index, probes: Probes, skip_self: bool = False) -> DataFrame:
-    """(qid, frauds, second): the fast vote, or the full one where the fast one is ambiguous."""
-    fast = votes(queries, knn_ivf(queries, index, K, probes.fast, skip_self))
+def two_stage(queries: DataFrame, index: Index, probes: Probes, skip_self: bool = False, routing: str = "quantized") -> DataFrame:
+    """(qid, frauds, second): the fast vote, or the full one where the fast one is ambiguous.
+
+    The votes of a block of queries come to the driver, so that the first look is taken once; more queries are looked at lazily.
+    """
+    spark, most = queries.sparkSession, max(1, QUERY_BLOCK // index.dims)
+    fast = votes(queries, knn_ivf(queries, index, K, probes.fast, skip_self, routing))
+    first = fast.limit(most + 1).collect() if queries.limit(most + 1).count() <= most else None
+    if first is not None:
+        fast = spark.createDataFrame(first, fast.schema)
     again = fast.where(F.col("frauds").isin(*AMBIGUOUS)).select(F.col("qid").alias("_a"))
     asked = queries.join(again, F.col("qid") == F.col("_a"), "left_semi")
-    full = votes(asked, knn_ivf(asked, index, K, probes.full, skip_self)).select(F.col("qid").alias("_f"), F.col("frauds").alias("_full"))
+    if first is not None and not any(r.frauds in AMBIGUOUS for r in first):
+        return fast.withColumn("second", F.lit(False))
+    full = votes(asked, knn_ivf(asked, index, K, probes.full, skip_self, routing)).select(F.col("qid").alias("_f"), F.col("frauds").alias("_full"))
     both = fast.join(full, F.col("qid") == F.col("_f"), "left")
     return both.select("qid", F.coalesce("_full", "frauds").alias("frauds"), F.col("_full").isNotNull().alias("second"))

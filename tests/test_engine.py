@@ -5,12 +5,13 @@ import json
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from test_features import GOLDEN, payload, risks
 
 from knnscore.functions import scores as S
 from knnscore.operators import evaluate, ivf, kmeans, knn, vote
-from knnscore.plans.scoring import payload_vectors, validate
+from knnscore.plans.scoring import build_index, check, payload_vectors, validate
 from knnscore.sources import index_store, readers
 from knnscore.streaming.scoring import score_stream
 
@@ -69,6 +70,55 @@ def test_queries_in_blocks(data, monkeypatch):
     assert rows_of(knn.knn(asked(df), df, 5, DIMS)) == brute(rows, 5, False)
 
 
+def test_queries_that_fit_no_block(data, index, monkeypatch):
+    df, rows = data
+    few, named = rows_of(knn.knn_ivf(asked(df), index, 5, 2)), asked(df).withColumn("qid", F.concat(F.lit("q"), "qid"))
+    texts = sorted((r.qid, r.vec_id, r.rank) for r in knn.knn_ivf(named, index, 5, 2).collect())
+    two = sorted(map(tuple, vote.two_stage(asked(df), index, vote.Probes(1, 6)).collect()))
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 3 * DIMS)
+    monkeypatch.setattr(knn, "PART", 50 * DIMS)
+    monkeypatch.setattr(vote, "QUERY_BLOCK", 3 * DIMS)
+    assert rows_of(knn.knn(asked(df), df, 5, DIMS, skip_self=True)) == brute(rows, 5, True)
+    assert rows_of(knn.knn_ivf(asked(df), index, 5, 2)) == few
+    assert sorted((r.qid, r.vec_id, r.rank) for r in knn.knn_ivf(named, index, 5, 2).collect()) == texts
+    assert sorted(map(tuple, vote.two_stage(asked(df), index, vote.Probes(1, 6)).collect())) == two
+    monkeypatch.setattr(knn, "MAX_PAIRS", 10)
+    with pytest.raises(ValueError, match="too many"):
+        knn.knn(asked(df), df, 5, DIMS, "sql")
+
+
+def test_float_routing(data, index):
+    df, rows = data
+    q = asked(df).withColumn("vector", F.transform("q", lambda x: (x / 10000).cast("float")))
+    model = {r.cluster_id: np.array(r.centroid, dtype=np.float32) / np.float32(10000) for r in index.centroids.collect()}
+    got = {(r.qid, r.probe): r.cluster_id for r in knn.nearest_clusters(q, index.centroids, 3, DIMS, "float").collect()}
+    for i, v, _ in rows[::50]:
+        a = np.array(v, dtype=np.float32) / np.float32(10000)
+        near = sorted(model, key=lambda c: (float(((a - model[c]) ** 2).sum(dtype=np.float64)), c))[:3]
+        assert [got[i, n] for n in (1, 2, 3)] == near
+    assert rows_of(knn.knn_ivf(q, index, 5, 6, routing="float")) == brute(rows, 5, False)
+    with pytest.raises(ValueError):
+        knn.nearest_clusters(q, index.centroids, 3, DIMS, "other")
+
+
+def test_recall_of_the_index_queries(spark):
+    from knnscore.plans import queries
+
+    found = {(r.qid, r.vec_id) for r in queries.QUERIES["ivf_knn_top5"](spark, SF).collect()}
+    exact = {(r.qid, r.vec_id) for r in queries.QUERIES["knn_bruteforce_top5"](spark, SF).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_built_index_is_checked(spark, data, tmp_path):
+    built = build_index(data[0], str(tmp_path / "i"), 4, DIMS, nprobe=2, iterations=2)
+    assert built.vectors.count() == 400
+    holes = ivf.Index(built.vectors.withColumn("label", F.lit(None).cast("int")), built.centroids, DIMS, 4, 2)
+    check(holes)
+    lost = ivf.Index(built.vectors, built.centroids.where("cluster_id < 0"), DIMS, 4, 2)
+    with pytest.raises(Exception):
+        check(lost)
+
+
 def test_all_clusters_probed_is_exact(data, index):
     df, rows = data
     exact = knn.knn(asked(df), df, 5, DIMS)

@@ -92,13 +92,19 @@ def test_clamp_and_quantize(spark):
 
 def test_distances(spark):
     zero, one = (F.array(*[F.lit(x)] * 14) for x in (0, 1))
-    assert value(spark, V.squared_distance_arrays(zero, one)) == 14
     assert value(spark, V.squared_distance(V.columns(zero, 14), V.columns(one, 14))) == 14
-    assert value(spark, V.float_distance_arrays(zero.cast("array<float>"), one.cast("array<float>"))) == 14.0
     assert value(spark, V.first_greatest(F.array(F.lit(1), F.lit(7), F.lit(7)))) == 1
     assert value(spark, V.align_up(F.lit(7), 8)) == 8 and value(spark, V.align_up(F.lit(3), 8)) == 8
 
 
+def test_lenient_seconds_agree_with_the_usual_form(spark):
+    days = ["2026-03-11", "2024-02-29", "1900-01-01", "0001-01-01", "9999-12-31"]
+    for d in days:
+        text = f"{d}T23:59:58Z"
+        assert value(spark, X.epoch_seconds(F.lit(text))) == value(spark, X.epoch_seconds(F.lit(text.replace("Z", "")))), d
+    assert value(spark, X.epoch_seconds(F.lit("2026-02-31T00:00:61Z"))) == value(spark, X.epoch_seconds(F.lit("2026-03-03T00:00:59Z")))
+
+
 def test_refused_payloads(spark):
     bad = payload()
     del bad["merchant"]["mcc"]
