@@ -70,10 +70,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """
     sha, best, same = fresh(docs, "sha", "best", "same")
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    stay = table(merge_runs(table(_digests(docs, id_col, text), "digests"), keep).select(F.col("best.id").alias(best), F.col("sha").alias(same)), "stay")
+    rows = table(_digests(docs, id_col, text), "digests")
+    repeats = rows.groupBy("id", "sha").count().where("count > 1").select(F.col("id").alias("i"), F.col("sha").alias("s"))
+    stay = merge_runs(rows, keep).select(F.col("best.id").alias(best), F.col("sha").alias(same))
+    stay = table(stay.join(repeats, (F.col(same) == F.col("s")) & F.col(best).eqNullSafe(F.col("i")), "left").select(best, same, F.col("s").isNotNull().alias("many")), "stay")
     marked = docs.withColumn(sha, F.unhex(F.sha2(text, 256)))
-    kept = marked.join(stay, (F.col(sha) == F.col(same)) & F.col(id_col).eqNullSafe(F.col(best)), "left_semi")
-    return kept.dropDuplicates([id_col, sha]).select(*docs.columns)
+    kept = lambda by: marked.join(by, (F.col(sha) == F.col(same)) & F.col(id_col).eqNullSafe(F.col(best)), "left_semi")
+    out = kept(stay.where("not many"))
+    many = stay.where("many")
+    if not many.isEmpty():  # rows that repeat identifier and text: only these move a second time
+        out = out.unionByName(kept(many).dropDuplicates([id_col, sha]))
+    return out.select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,18 +131,27 @@ def keyed(nodes: DataFrame, source: str, keys_of: Callable[[np.ndarray], tuple[n
                 r, k = keys_of(made)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(node[r])], names=["key", "node"])
 
-    return nodes.select("node", F.col(source).alias("value")).mapInArrow(run, "key long, node long")
+    # a node becomes a hundred rows: deal the nodes out evenly first
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.select("node", F.col(source).alias("value")).repartition(parts, "node").mapInArrow(run, "key long, node long")
 
 
 #: Random members of each bucket that still holds several components which are compared with all of it, and how often.
 CENTRES, CENTRE_ROUNDS = 4, 3
 
 
-def links(members: DataFrame, others: DataFrame, apart: Column, distance: Callable[[str, str], Column], limit: int) -> DataFrame:
-    """(a, b) components of members (key, node, comp, values) and others (the same as b_<name>) that a link joins within a bucket."""
+def links(members: DataFrame, others: DataFrame, apart: Column, ends: Callable[[DataFrame], DataFrame], close: Column) -> DataFrame:
+    """(a, b) components of members (key, node, comp) and others (the same as b_<name>) that a link joins within a bucket.
+
+    A pair that meets in several buckets is compared once; `ends` adds the values that `close` reads.
+    """
     a = members.select(*(F.col(c).alias(f"a_{c}") for c in members.columns))
-    met = a.join(others, (F.col("a_key") == F.col("b_key")) & apart & (distance("a", "b") <= limit))
-    return met.select(F.least("a_comp", "b_comp").alias("a"), F.greatest("a_comp", "b_comp").alias("b")).distinct()
+    met = a.join(others, (F.col("a_key") == F.col("b_key")) & apart)
+    pair = met.select(
+        F.least("a_node", "b_node").alias("a_node"), F.greatest("a_node", "b_node").alias("b_node"),
+        F.least("a_comp", "b_comp").alias("a"), F.greatest("a_comp", "b_comp").alias("b"),
+    ).distinct()
+    return ends(pair).where(close).select("a", "b").distinct()
 
 
 def merged(pairs: DataFrame) -> DataFrame | None:
@@ -193,23 +202,28 @@ def link(keys: DataFrame, distance: Callable[[str, str], Column], limit: int, pa
     rest = table(rest, "rest")
     mixed = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("key").alias("k"))
     rest = rest.join(mixed, F.col("key") == F.col("k"), "left_semi")
-    if payload is not None:
-        rest = rest.join(payload.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd")).drop("nd")
     rest = table(rest, "mixed")
+    close = distance("a", "b") <= limit
+    # nodes that are their own values are compared where they meet
+    early = F.lit(True) if payload is not None else close
     for turn in range(CENTRE_ROUNDS):
         # random members of a mixed bucket meet all of it: who is near many of a component joins it here, by a few links
         member = F.struct(*rest.columns)
         drawn = F.array_distinct(F.array(*(F.min_by(member, F.xxhash64(F.lit(turn * CENTRES + i), "key", "node")) for i in range(CENTRES))))
         centres = rest.groupBy("key").agg(drawn.alias("drawn")).select(F.explode("drawn").alias("c")).select(*(F.col(f"c.{c}").alias(f"b_{c}") for c in rest.columns))
-        over = merged(links(rest, centres, F.col("a_comp") != F.col("b_comp"), distance, limit))
+        over = merged(links(rest, centres, (F.col("a_comp") != F.col("b_comp")) & early, ends, close))
         if over is None:
             break
         first = table(renamed(first, over), "components")
         rest = rest.join(over, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new")
         mixed = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("key").alias("k"))
         rest = table(rest.join(mixed, F.col("key") == F.col("k"), "left_semi"), "mixed")
-    both = rest.select(*(F.col(c).alias(f"b_{c}") for c in rest.columns))
-    over = merged(links(rest, both, F.col("a_comp") < F.col("b_comp"), distance, limit))
+    # what still holds several components: all of a bucket's members meet, with their values, and only links come out
+    if payload is not None:
+        rest = table(rest.join(payload.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd")).drop("nd"), "valued")
+    x, y = (rest.select(*(F.col(c).alias(f"{side}_{c}") for c in rest.columns)) for side in "ab")
+    met = x.join(y, (F.col("a_key") == F.col("b_key")) & (F.col("a_comp") < F.col("b_comp")) & close)
+    over = merged(met.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
     return first if over is None else renamed(first, over)
 
 
@@ -317,16 +331,21 @@ def sampled_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group linked by similar shingles one document stays. All columns are kept.
 
-    A document is known by a hash of its identifier and text, so docs isn't copied; rows that agree in both stay or go together.
+    A document is known by a 64-bit hash of its identifier and text, so docs isn't copied; rows that agree in both stay or go
+    together. What goes is found by that hash and the identifier: where the hashes of two documents collide, one of them isn't
+    compared, and neither goes for the other. Null text counts as empty.
     """
-    uid, gone = fresh(docs, "uid", "gone")
+    uid, gone, at = fresh(docs, "uid", "gone", "at")
     marked = docs.withColumn(uid, F.xxhash64(id_col, text_col))
+    ids = marked.select(F.col(uid).alias("u"), F.col(id_col).alias("i"))
     sampled = table(sampled_keys(marked, uid, text_col).dropDuplicates(["node"]), "sampled")
 
     def sets(nodes: DataFrame) -> DataFrame:
         met = marked.select(uid, text_col).join(nodes, F.col(uid) == F.col("node"), "left_semi")
         return shingle_sets(met, uid, text_col).dropDuplicates(["node"])
 
-    linked = link(sampled.select(F.explode("keys").alias("key"), "node"), dissimilar, 0, sets)
-    drop = table(linked.where("node <> component").select(F.col("node").alias(gone)), "gone")
-    return marked.join(drop, F.col(uid) == F.col(gone), "left_anti").select(*docs.columns)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = link(sampled.repartition(parts, "node").select(F.explode("keys").alias("key"), "node"), dissimilar, 0, sets)
+    drop = linked.where("node <> component").select("node")
+    drop = table(ids.join(drop, F.col("u") == F.col("node")).groupBy("u").agg(F.min("i").alias("i")).select(F.col("u").alias(gone), F.col("i").alias(at)), "gone")
+    return marked.join(drop, (F.col(uid) == F.col(gone)) & F.col(id_col).eqNullSafe(F.col(at)), "left_anti").select(*docs.columns)
