@@ -9,11 +9,12 @@ A file holds documents in ascending identifier order:
     footer JSON with the places of all sections, then its length in 8 bytes
 
 An Elias-Fano sequence of n values below u keeps floor(log2(u/n)) low bits of each value packed and the
-rest as a unary bit vector of about 2n bits, with the place of every 256th one bit stored: select(i)
-decodes one value from at most 256 one bits, so random access needs no table of 64-bit offsets.
+rest as a unary bit vector of about 2n bits, with the place of every 256th one bit stored in 32 bits:
+select(i) decodes one value from at most 256 one bits, select(i, j) a run of them. All reading goes through
+it, a block of documents at a time; no table of 64-bit offsets is ever made.
 
 Null text is an empty document (its end id only). Null identifiers come first. Rows that tie in
-identifier are ordered by their ids. Repeated rows are documents of their own. Empty input makes no
+identifier are ordered by their ids; if they fill several files, first by a hash of ids and place in the input. Repeated rows are documents of their own. Empty input makes no
 file and gives an empty result. Other columns are not read.
 
 A task that is run again writes a file of another name; the manifest, which Spark commits, names the
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, range_groups, scratch_dir, table
+from .common import documents, group_order, range_groups, scratch_path, table, tie_of
 from .tokenizing import END_ID, tokenizer, vocabulary_path
 
 MAGIC = b"KNTOK001"
@@ -49,7 +50,7 @@ class EliasFano:
         self.n, self.low_bits = n, low_bits
         self.low = np.frombuffer(low, dtype=np.uint8)
         self.high = np.frombuffer(high, dtype=np.uint8)
-        self.samples = np.frombuffer(samples, dtype="<u8")
+        self.samples = np.frombuffer(samples, dtype="<u4")
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[dict, list[bytes]]:
@@ -61,9 +62,11 @@ class EliasFano:
         for b in range(bits):
             low[:, b] = (v >> np.uint64(b)) & np.uint64(1)
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n, dtype=np.int64)
+        if n and ones[-1] >= 1 << 32:
+            raise ValueError(f"{n} values are too many for one sequence")
         high = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
         high[ones] = 1
-        parts = [np.packbits(low.reshape(-1), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u8").tobytes()]
+        parts = [np.packbits(low.reshape(-1), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes()]
         return {"n": n, "low_bits": bits}, parts
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -73,27 +76,28 @@ class EliasFano:
             out |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64) << b
         return out
 
-    def select(self, i: int) -> int:
-        """Value i from the sampled place before it."""
-        if not 0 <= i < self.n:
+    def select(self, i: int, stop: int | None = None) -> int | np.ndarray:
+        """Value i, or those from i up to `stop`, from the sampled place before i."""
+        end = i + 1 if stop is None else stop
+        if not 0 <= i < end <= self.n:
             raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        left, byte = i % SAMPLE, at >> 3
-        bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")[at & 7 :]
-        while True:
-            found = np.flatnonzero(bits)
-            if left < len(found):
-                at += int(found[left])
-                break
-            left, at = left - len(found), at + len(bits)
-            bits = np.unpackbits(self.high[at >> 3 : (at >> 3) + 64], bitorder="little")
-        return ((at - i) << self.low_bits) | int(self._low(np.array([i]))[0])
+        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE + end - i
+        found, byte, skip = [], at >> 3, at & 7
+        while left > 0:
+            # as many bytes as hold the missing ones if all of their bits are set, or a cache line
+            take = max(64, left >> 3)
+            bits = np.unpackbits(self.high[byte : byte + take], bitorder="little")
+            bits[:skip] = 0
+            ones = np.flatnonzero(bits)[:left]
+            found.append(ones + byte * 8)
+            left, byte, skip = left - len(ones), byte + take, 0
+        index = np.arange(i, end, dtype=np.int64)
+        values = ((np.concatenate(found)[i % SAMPLE :] - index) << self.low_bits) | self._low(index)
+        return int(values[0]) if stop is None else values
 
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n, dtype=np.int64)
-        return ((ones - i) << self.low_bits) | self._low(i)
-
+        """Every value, for short sequences."""
+        return self.select(0, self.n) if self.n else np.zeros(0, dtype=np.int64)
 
 def _filesystem(path: str):
     from pyarrow import fs
@@ -163,11 +167,13 @@ class FileReader:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.foot["nulls"] else self.doc_ids.select(i - self.foot["nulls"]) + self.foot["least"]
 
-    def all_doc_ids(self) -> list[int | None]:
-        return [None] * self.foot["nulls"] + [int(x) + self.foot["least"] for x in self.doc_ids.all()]
+    def some_doc_ids(self, i: int, stop: int) -> list[int | None]:
+        nulls = self.foot["nulls"]
+        known = self.doc_ids.select(max(i, nulls) - nulls, stop - nulls).tolist() if stop > nulls else []
+        return [None] * (min(stop, nulls) - min(i, nulls)) + [x + self.foot["least"] for x in known]
 
     def bounds(self, i: int) -> tuple[int, int]:
-        return self.ends.select(i), self.ends.select(i + 1)
+        return tuple(self.ends.select(i, i + 2).tolist())
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         w, first = self.dtype.itemsize, len(MAGIC)
@@ -197,12 +203,13 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     """Write all documents and return the manifest (file_no, path, docs, tokens), a table. Files follow one another in identifier order.
 
     File numbers come from quantiles of the identifiers alone; texts are tokenized where they are read and only
-    their ids move, once.
+    their ids move, once. Rows that share an identifier are dealt to several files if they are many.
     """
     spark = docs.sparkSession
     path = vocabulary or vocabulary_path()
     ids = docs.select(F.col(id_col).alias("id"))
-    rows = encode_documents(docs, id_col, text_col, path).withColumn("file_no", range_groups(ids, file_docs))
+    rows = encode_documents(docs, id_col, text_col, path)
+    rows = range_groups(rows, ids, file_docs, tie_of("ids"), "file_no")
     files = -(-ids.count() // file_docs)
     parts = max(1, min(files, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -217,7 +224,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
                 if no != now:
                     if out:
                         yield row(now, out.close())
-                    out, now = FileWriter(folder, f"{no + 1:012d}", dtype), no
+                    out, now = FileWriter(folder, f"{no:020d}", dtype), no
                 out.add(doc_id, ids)
         if out:
             yield row(now, out.close())
@@ -229,24 +236,24 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files; start counts over all files."""
     spark = manifest.sparkSession
-    # one row per file meets here
-    before = F.sum("tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("base")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    order = group_order(manifest.select(F.col("file_no").alias("grp"), "tokens"), F.col("tokens"))
+    files = manifest.join(order, F.col("file_no") == F.col("grp")).select("path", F.col("before").alias("base"))
+    files = files.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 f = FileReader(path)
-                ends, ids = f.ends.all(), f.all_doc_ids()
                 for i in range(0, len(f), 512):
-                    e = ends[i : i + 513]
+                    stop = min(i + 512, len(f))
+                    e, ids = f.ends.select(i, stop + 1), f.some_doc_ids(i, stop)
                     all_ids = f.slice(int(e[0]), int(e[-1])).astype("<u4")
                     crc = [zlib.crc32(all_ids[x:y]) for x, y in zip((e[:-1] - e[0]).tolist(), (e[1:] - e[0]).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 512], pa.int64()), pa.array(base + e[:-1], pa.int64()), pa.array(np.diff(e), pa.int64()), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base + e[:-1], pa.int64()), pa.array(np.diff(e), pa.int64()), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "tokens")
     return read_token_files(write_token_files(documents(spark, sf_dir), folder)).withColumnRenamed("id", "doc_id")
