@@ -8,8 +8,9 @@ of squared fills, until the bin is empty or no step helps. What a group leaves u
 packed again with other groups' leftovers, in rounds, until these fit one group or hardly shrink.
 
 A null text counts as empty, a single end id. Rows that repeat an identifier are documents of their own.
-Empty input gives an empty result. Other columns are not read. The packing depends on the set of pieces
-and their order by (length, hash of identifier, piece), not on how the input is split.
+Empty input gives an empty result. Other columns are not read. Pieces are numbered when they are written,
+and dealt to groups by a hash of that number, so groups are even whatever repeats; the packing depends on
+how the input is split into files.
 """
 
 from __future__ import annotations
@@ -194,40 +195,41 @@ def pack_group(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.
 
 def _packer(kept: list[str], limit: int, last: bool, first: int):
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["length", "mix", "piece", "start", "ids_crc32"], kind="stable")
+        df = df.sort_values(["length", "row"], kind="stable")
         of, offset, fill = pack_group(df["length"].to_numpy(), limit)
         df["sequence_id"] = first + (int(df["grp"].iloc[0]) << 24) + of
         df["offset"] = offset
         df["left"] = (fill < limit) & (not last)
-        return df[[*kept, "left"]]
+        return df[[*kept, "row", "left"]]
 
     return one
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """pieces (id, piece, start, length, ids_crc32), a table, with sequence_id and offset."""
-    kept = [*pieces.columns, "sequence_id", "offset"]
+def pack(cut_pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Pieces (id, piece, start, length, ids_crc32), which are written to a table, with sequence_id and offset."""
+    names = cut_pieces.columns
+    kept = [*names, "sequence_id", "offset"]
+    pieces = table(cut_pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == limit)
     # whole pieces alone fill a sequence; their numbers are negative
-    done = full.select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    done = full.select(*names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, level, before = pieces.where(F.col("length") < limit), 0, None
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut_pieces.schema)
     while True:
         n = rest.count()
-        groups = -(-n // group_pieces)
+        groups = max(1, -(-n // group_pieces))
         # a round that hardly settles anything is the last: pieces that leave gaps do so in any group
-        last = groups <= 1 or before is not None and n > 0.98 * before
+        last = groups == 1 or before is not None and n > 0.98 * before
         before = n
-        first = level << 56
-
-        mixed = rest.withColumn("mix", F.xxhash64(F.lit(level), "id", "piece", "start", "ids_crc32"))
-        mixed = mixed.withColumn("grp", F.pmod("mix", F.lit(max(1, groups))))
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-        packed = table(mixed.groupBy("grp").applyInPandas(_packer(kept, limit, last, first), f"{kinds}, sequence_id long, offset long, left boolean"), "packed")
+        # a task a group, so that adaptive execution doesn't run several one after another
+        dealt = rest.withColumn("grp", F.pmod(F.xxhash64(F.lit(level), "row"), F.lit(groups))).repartition(groups, "grp")
+        work = _packer(kept, limit, last, level << 56)
+        packed = table(dealt.groupBy("grp").applyInPandas(work, f"{kinds}, sequence_id long, offset long, row long, left boolean"), "packed")
         done = done.unionByName(packed.where("not left").select(*kept))
         if last:
             return done
-        rest, level = packed.where("left").select(*pieces.columns), level + 1
+        rest, level = packed.where("left").select(*names, "row"), level + 1
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(cut(documents(spark, sf_dir)), "pieces")).withColumnRenamed("id", "doc_id")
+    return pack(cut(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
