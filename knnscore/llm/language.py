@@ -3,7 +3,9 @@
 Features are byte 2-, 3- and 4-grams of the lower-cased text with everything that isn't a letter made a
 space, hashed into buckets. The model is an embedding a bucket, their average over the text, a linear layer
 and a softmax, trained by stochastic gradient descent in numpy on a bounded sample: at most SAMPLE_PER_LANG
-labelled documents of each of the MAX_LANGS most frequent languages, those of least hashed identifier. A
+labelled rows of each language, those of least hashed identifier, and fewer where more than SAMPLE_ROWS /
+SAMPLE_PER_LANG languages share SAMPLE_ROWS. Of each row a window of TRAIN_CHARS characters is read, at a
+hashed place. Every label is learned; a class costs 4 * BUCKETS bytes in each task. A
 temperature calibrates the probabilities on a part of the sample that isn't trained on, and the rejection
 threshold is the score below which only REJECT_SHARE of that part's right predictions fall, at most
 MAX_THRESHOLD. Prediction covers every whole text; as the average and the linear layer commute, it sums one
@@ -27,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from .common import documents, fresh
 
-SAMPLE_PER_LANG, MAX_LANGS = 400, 200
+SAMPLE_PER_LANG, SAMPLE_ROWS = 400, 80_000
 BUCKETS, DIM = 1 << 16, 16
 GRAMS = (2, 3, 4)
 #: A small sample is passed over more often, for STEPS batches at least.
@@ -157,17 +159,22 @@ def held_out(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """The bounded training sample: rows are chosen by identifier and label alone, then their texts are read."""
+    """The bounded training sample: rows are chosen by identifier and label alone, then windows of their texts are read."""
     ids = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id") & (F.col("lang") != UNKNOWN)
     )
+    each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, ids.select("lang").distinct().count())))
+    hashed = F.xxhash64(F.lit(8), "id")
     by = Window.partitionBy("lang").orderBy("h", "id")
-    first = ids.withColumn("h", F.xxhash64(F.lit(8), "id")).withColumn("k", F.row_number().over(by)).where(f"k <= {SAMPLE_PER_LANG}")
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    chosen = first.join(common, "lang", "left_semi").select("id").distinct()
-    # at most SAMPLE_PER_LANG * MAX_LANGS identifiers: a proven bound
+    chosen = ids.withColumn("h", hashed).withColumn("k", F.row_number().over(by)).where(F.col("k") <= each).select("id").distinct()
+    # at most SAMPLE_ROWS identifiers, or one a language: a proven bound; rows that share one are counted again
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), "id", "left_semi")
-    got = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", "id").collect()
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
+    spare = F.greatest(F.lit(1), F.char_length("text") - TRAIN_CHARS + 1)
+    at = F.pmod(F.xxhash64(F.lit(9), "id"), spare.cast("long")).cast("int") + 1
+    rows = rows.select("id", "lang", hashed.alias("h"), F.substr("text", at, F.lit(TRAIN_CHARS)).alias("text"))
+    by = Window.partitionBy("lang").orderBy("h", "id", "text")
+    got = rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= each).select("text", "lang", "id").collect()
     return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.id, r.lang, r.text))]
 
 

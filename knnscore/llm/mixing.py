@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, fresh, table
@@ -80,20 +80,24 @@ def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"))
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix as documents: each row as often as its taken words are whole passes over it; a part counts as a pass from one half on.
 
-    A document without words is kept once. Columns are those of docs. Documents are found again by identifier, source and a hash
-    of their text, so docs isn't copied; rows that agree in these are repeated alike.
+    A document without words is kept once. Columns are those of docs. Documents are found again by identifier, source and the
+    SHA-256 of their text, so docs isn't copied; rows that agree in these are repeated alike.
     """
     uid, repeats, key, at = fresh(docs, "uid", "repeats", "key", "at")
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("row"), words.alias("size")), "sizes")
+    sizes = table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _digest(F.col(text_col)).alias("row"), words.alias("size")), "sizes")
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     taken = mix(sizes, **how).groupBy("id", "source", "row").agg(F.max(times).alias(repeats)).where(F.col(repeats) > 0)
     taken = taken.select(F.col("id").alias(at), F.col("source").alias(key), F.col("row"), repeats).withColumnRenamed("row", f"{key}_row")
     same = (F.col(uid) == F.col(f"{key}_row")) & F.col(id_col).eqNullSafe(F.col(at)) & F.col(source_col).eqNullSafe(F.col(key))
-    joined = docs.withColumn(uid, F.xxhash64(text_col)).join(taken, same)
+    joined = docs.withColumn(uid, _digest(F.col(text_col))).join(taken, same)
     copy = F.explode(F.sequence(F.lit(1), F.col(repeats)))
     return joined.select(*docs.columns, copy.alias(uid)).select(*docs.columns)
 
