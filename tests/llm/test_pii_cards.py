@@ -24,7 +24,7 @@ CASES = [  # text, texts around its card numbers
 
 @pytest.fixture(scope="module")
 def replaced(spark):
-    rows = pii.pseudonymize(docs_of(spark, [t for t, _ in CASES])).collect()
+    rows = pii.pseudonymize(docs_of(spark, [t for t, _ in CASES]), "test key").collect()
     return {r.doc_id: r for r in rows}
 
 
@@ -44,7 +44,7 @@ def test_cards_beside_numbers(replaced, i):
 
 def test_values_after_cards(spark):
     text = f"{CARD} 10.0.0.255 {CARD} 123-45-6789 5 2020-01-31 12345"
-    r = pii.pseudonymize(docs_of(spark, [text])).where(F.col("text").isNotNull()).first()
+    r = pii.pseudonymize(docs_of(spark, [text]), "test key").where(F.col("text").isNotNull()).first()
     assert r.n_private == 5
     for old in (CARD, "10.0.0.255", "123-45-6789", "2020-01-31"):
         assert old not in r.text

@@ -11,6 +11,7 @@ from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
 from knnscore.llm import chat, exact_dedup, fingerprints, language, mixing, pii
+from knnscore.llm.common import group_order, range_groups, tie_of
 from knnscore.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid string, `_found` int"
@@ -48,7 +49,8 @@ def test_chat_machine(spark):
 
 
 def canon(t):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).lower()).strip()
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+    return re.sub(r"\s+", " ", folded).strip()
 
 
 @pytest.mark.parametrize("group_rows", [1024, 3])
@@ -78,10 +80,41 @@ def test_fingerprint_edges(spark):
     assert len(rep) == 3
     # equal digests of different texts get different fingerprints
     clash = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (1, "a")], "k int, canon string").select(F.struct(F.col("k").cast("long").alias("h0"), F.lit(0).cast("long").alias("h1")).alias("digest"), "canon")
-    v = fingerprints.variants(clash).collect()
+    v = fingerprints.variants(fingerprints.by_bytes(clash)).collect()
     assert sorted(r.variant for r in v) == [0, 1] and {r.digest.h0 for r in v} == {1}
 
 
+def test_fingerprints_fold_case_in_full(spark):
+    pairs = [("STRASSE", "straße"), ("ΟΔΟΣ", "οδοσ"), ("οδος", "ΟΔΟΣ"), ("ẞ", "ss"), ("ǰ", "J̌"), ("Ⅷ", "viii")]
+    got = {r.id: r.fingerprint for r in fingerprints.document_fingerprints(docs_of(spark, [t for p in pairs for t in p])).collect()}
+    for k, (a, b) in enumerate(pairs):
+        assert canon(a) == canon(b) and got[2 * k] == got[2 * k + 1], (a, b)
+    assert len(set(got.values())) == len({canon(a) for a, _ in pairs})
+
+
+def test_range_groups_are_even(spark):
+    def largest(ids, goal):
+        df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+        rows = range_groups(df, df, goal, tie_of("id")).collect()
+        by = sorted(rows, key=lambda r: (r.id is not None, r.id or 0))
+        apart = [(a, b) for a, b in zip(by, by[1:], strict=False) if a.id != b.id]
+        assert all(a.grp <= b.grp for a, b in apart)
+        return max(Counter(r.grp for r in rows).values())
+
+    islands = [(i << 33) + k for i in range(300) for k in range(200)]
+    assert largest(islands, 100) <= 300
+    assert largest([7] * 20_000 + list(range(40_000)), 500) <= 1500
+    assert largest([None] * 20_000 + [7] * 20_000 + [k * k * k for k in range(20_000)], 500) <= 1500
+    assert largest([1] * 60_000, 1000) <= 2000
+
+
+def test_group_order(spark):
+    groups = [-3, -1, 5, (1 << 53) + 2, (1 << 53) + (3 << 44), (2 << 53)]
+    df = spark.createDataFrame([(g, k + 1) for k, g in enumerate(groups)], "grp long, n long")
+    got = {r.grp: (r.follows, r.before) for r in group_order(df, F.col("n")).collect()}
+    assert got == {g: (groups[(k + 1) % len(groups)], k * (k + 1) // 2) for k, g in enumerate(groups)}
+
+
 def test_exact_dedup_edges(spark):
     texts = ["Same", "sAME", "É", "é", None, "", "x" * 100_000, "X" * 100_000, "rep", "rep"]
     ids = [1, 2, 3, 4, 5, 6, 7, 8, 9, 9]
@@ -149,7 +182,7 @@ def luhn_ok(s):
 
 def test_feistel_is_a_permutation(spark):
     df = spark.range(60 * 7).select(F.array(F.floor(F.col("id") / 7), F.col("id") % 7).alias("v"))
-    got = df.select(pii.feistel(F.col("v"), F.array(F.lit(60), F.lit(7)), F.lit("t")).alias("n")).collect()
+    got = df.select(pii.feistel(F.col("v"), F.array(F.lit(60), F.lit(7)), F.lit("t"), "test key").alias("n")).collect()
     assert {tuple(r.n) for r in got} == {(a, b) for a in range(60) for b in range(7)}
 
 
@@ -163,7 +196,7 @@ def test_feistel_by_brute_force(spark):
             halves[i % 2] = [(x + int(h[8 * j : 8 * j + 8], 16)) % r for j, (x, r) in enumerate(zip(halves[i % 2], mods[i % 2], strict=True))]
         return halves[0] + halves[1]
 
-    for v, r in (([1, 2, 3], [10, 256, 9999]), ([5], [26]), (list(range(9)), [26] * 9), ([0] * 64, [10] * 64)):
+    for v, r in (([1, 2, 3], [10, 256, 9999]), ([5, 1], [26, 26]), (list(range(9)), [26] * 9), ([0] * 64, [10] * 64)):
         arr = lambda a: F.array(*map(F.lit, a))
         got = spark.range(1).select(pii.feistel(arr(v), arr(r), F.lit("k"), "key").alias("n")).first().n
         assert got == plain(v, r, "k", "key")
@@ -172,7 +205,7 @@ def test_feistel_by_brute_force(spark):
 def test_pii_formats(spark):
     text = "born 1984-02-29, 31/12/1999 or 31.12.1999; ssn 123-45-6789; card 4111 1111 1111 1111; ip 10.0.0.255; call +1 (017) 555-7713; mail A.b-c9@x.org. again 4111 1111 1111 1111"
     keep = "1999-02-30 2020-13-01 666-12-1234 4111-1111-1111-1112 300.1.1.1 1.2.3.4.5 12345 v2.0"
-    out = pii.pseudonymize(docs_of(spark, [text, keep, None, "", "no digits", text + keep]))
+    out = pii.pseudonymize(docs_of(spark, [text, keep, None, "", "no digits", text + keep]), "test key")
     assert out.columns[:-1] == docs_of(spark, []).columns
     got = {r.doc_id: r for r in out.collect()}
     assert (got[1].text, got[2].text, got[3].text, got[4].text) == (keep, None, "", "no digits")
@@ -186,7 +219,7 @@ def test_pii_formats(spark):
     assert re.search(r"mail [A-Z]\.[a-z]-[a-z]\d@x\.org\.", new) and "+1 (" in new
     other = {r.doc_id: r.text for r in pii.pseudonymize(docs_of(spark, [text]), key="other").collect()}[0]
     assert other != new
-    assert pii.pseudonymize(docs_of(spark, [])).count() == 0
+    assert pii.pseudonymize(docs_of(spark, []), "test key").count() == 0
 
 
 def test_language(spark):

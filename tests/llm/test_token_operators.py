@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_text_operators import docs_of
 
 import corpus_pipeline
@@ -42,6 +43,7 @@ def test_elias_fano(values):
     head, parts = token_files.EliasFano.encode(np.array(values, dtype=np.uint64))
     e = token_files.EliasFano(head["n"], head["low_bits"], *parts)
     assert e.all().tolist() == values and [e.select(i) for i in range(len(values))] == values
+    assert all(e.select(i, j).tolist() == values[i:j] for i in range(0, len(values), 97) for j in (i + 1, min(i + 700, len(values))))
     if len(values) == 3000:
         assert sum(map(len, parts)) * 8 <= 12 * len(values)
 
@@ -95,6 +97,27 @@ def test_packing(spark, group):
     assert packing.pack(table(packing.cut(docs_of(spark, [])), "none")).count() == 0
 
 
+def test_packing_deals_repeated_rows_evenly(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    packer = packing._packer
+
+    def bounded(*how):
+        one = packer(*how)
+
+        def run(df):
+            assert len(df) <= 1300
+            sizes.add(len(df))
+            return one(df)
+
+        return run
+
+    monkeypatch.setattr(packing, "_packer", bounded)
+    same = spark.range(60_000).select(F.lit(None).cast("long").alias("id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(30).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    packed = packing.pack(same, 100, 1000)
+    assert packed.groupBy("sequence_id").count().agg(F.max("count"), F.sum("count")).first() == (3, 60_000)
+    assert sizes.value >= 60_000
+
+
 def test_packing_of_pieces_that_leave_gaps(spark):
     pieces = table(packing.cut(docs_of(spark, ["w " * 60] * 40), limit=100), "pieces")
     assert packed_well(packing.pack(pieces, 100, 8).collect(), 100) == 40
@@ -152,6 +175,7 @@ def test_repeated_strings(spark, monkeypatch, most):
         runs = sum(1 for i, x in enumerate(g) if x and not (i and g[i - 1]))
         kept = bytes(b for b, x in zip(raw, g, strict=True) if not x)
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, bytes(got[d].kept)) == (len(raw), sum(g), runs, kept), texts[d]
+        assert got[d].text == kept.decode("utf-8", "ignore")
 
 
 def test_blocks_of_long_texts(monkeypatch):
@@ -162,16 +186,69 @@ def test_blocks_of_long_texts(monkeypatch):
     assert all(any(s <= p <= s + 80 for p in places) for s in range(len(raw) - 99))
 
 
-def test_suffix_order_and_first_copies():
-    data = np.frombuffer(b"banana-bananas" * 3, dtype=np.uint8)
-    starts = np.arange(len(data) - 11)
-    order, runs = substrings.window_runs(data, starts, 12)
-    text = data.tobytes()
-    names = [text[s : s + 12] for s in order]
-    assert names == sorted(names) and len(runs) == len(set(names))
-    first = substrings.repeated_windows(data, starts, starts, 12, keep="first")
-    for s in starts:
-        assert first[s] == (text.find(text[s : s + 12]) < s)
+def laid_out(contexts, window):
+    """Symbols, starts and room as repeated_windows() takes them."""
+    symbols, starts, room, base = [], [], [], 0
+    for c in contexts:
+        symbols += [x + 1 for x in c] + [0]
+        starts += range(base, base + len(c) - window + 1)
+        room += range(len(c), window - 1, -1)
+        base += len(c) + 1
+    return np.array(symbols, dtype=np.uint16), np.array(starts), np.array(room)
+
+
+def test_suffix_array_and_common_prefixes():
+    r = random.Random(6)
+    for text in (b"banana-bananas" * 9, b"a" * 300, bytes(r.choice(b"ab") for _ in range(700)), bytes(range(256)) * 2):
+        symbols, _, _ = laid_out([text], 1)
+        order, levels = substrings.suffix_array(symbols, len(symbols))
+        raw = symbols.tolist()
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        for i, j in ((r.randrange(len(raw)), r.randrange(len(raw))) for _ in range(200)):
+            same = next((k for k in range(len(raw)) if max(i, j) + k >= len(raw) or raw[i + k] != raw[j + k]), 0)
+            assert i == j or substrings.common_prefixes(symbols, levels, np.array([i]), np.array([j]))[0] == same
+
+
+@pytest.mark.parametrize("jumps", [48, 1])
+def test_longest_previous_factors(monkeypatch, jumps):
+    monkeypatch.setattr(substrings, "JUMPS", jumps)
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 60, 300):
+        for kind in range(4):
+            lcp = rng.integers(0, 6, n) * (rng.random(n) > 0.1)
+            lcp[0] = 0
+            places = [rng.permutation(n), np.arange(n), np.arange(n)[::-1].copy(), np.roll(np.arange(n), 1)][kind]
+            want = np.zeros(n, dtype=np.int64)
+            for i in range(n):
+                for step, end in ((-1, -1), (1, n)):
+                    least = 1 << 30
+                    for j in range(i + step, end, step):
+                        least = min(least, lcp[j + 1] if step < 0 else lcp[j])
+                        if places[j] < places[i]:
+                            want[i] = max(want[i], least)
+            assert substrings.factors(lcp.astype(np.int64), places).tolist() == want.tolist()
+
+
+def test_first_copies_stay():
+    r = random.Random(8)
+    contexts = [bytes(r.choice(b"ab") for _ in range(60)) for _ in range(20)] + [b"a" * 50, b"ab" * 30]
+    text = b"\xff".join(contexts)
+    symbols, starts, room = laid_out(contexts, 12)
+    at, places = 0, []
+    for c in contexts:
+        places += range(at, at + len(c) - 11)
+        at += len(c) + 1
+    for keep in ("first", "none"):
+        hit = substrings.repeated_windows(symbols, starts, room, np.array(places), 12, keep).tolist()
+        seen = lambda s: text.find(text[s : s + 12]) < s or keep == "none" and text.find(text[s : s + 12], s + 1) >= 0
+        assert hit == [s for s in places if seen(s)]
+
+
+def test_one_letter_for_megabytes(spark):
+    texts = ["a" * 3_000_000, "b" * 2_000_000 + "unlike", "a" * 500, "c" * 399]
+    got = {r.id: r for r in substrings.remove_repeats(docs_of(spark, texts)).collect()}
+    assert [got[i].n_removed for i in range(4)] == [3_000_000, 2_000_000, 500, 0]
+    assert got[1].text == "unlike" and got[3].text == "c" * 399
 
 
 def test_repeated_strings_edges(spark):
