@@ -53,14 +53,15 @@ def show(dig: Column, variant: Column) -> Column:
 
 def by_bytes(texts: DataFrame) -> DataFrame:
     """(digest, sha), one row for each text of a digest that several rows of texts (digest, canon) have; grouped by the texts themselves."""
-    repeated = texts.groupBy("digest").count().where("count > 1").select(F.col("digest").alias("d"))
+    # a table, so that the planner knows its size and needn't move the texts where it is small
+    repeated = table(texts.groupBy("digest").count().where("count > 1").select(F.col("digest").alias("d")), "repeated")
     found = texts.join(repeated, F.col("digest") == F.col("d"), "left_semi").groupBy("digest", "canon").agg(F.count("*").alias("n"))
     return found.select("digest", F.sha2("canon", 256).alias("sha"))
 
 
 def variants(found: DataFrame) -> DataFrame:
     """(digest, sha, variant) of digests that different texts share, from rows (digest, sha); empty unless hashes collide."""
-    found = found.distinct()
+    found = table(found.distinct(), "digests")
     split = found.groupBy("digest").count().where("count > 1").select(F.col("digest").alias("d"))
     shas = found.join(split, F.col("digest") == F.col("d"), "left_semi")
     return shas.withColumn("variant", F.row_number().over(Window.partitionBy("digest").orderBy("sha")) - 1)
