@@ -30,6 +30,8 @@ from pyspark.sql.types import StructType
 from .common import documents, fresh
 
 SAMPLE_PER_LANG, SAMPLE_ROWS = 400, 80_000
+#: Shares of the input partitions that are cut to the sample's size before a language's rows meet.
+SLOTS = 32
 BUCKETS, DIM = 1 << 16, 16
 GRAMS = (2, 3, 4)
 #: A small sample is passed over more often, for STEPS batches at least.
@@ -158,6 +160,16 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def least_of_each(rows: DataFrame, each: int, *order: str) -> DataFrame:
+    """The first `each` rows of every language. Each of SLOTS shares of the partitions is cut to that many first, so a language's
+    last window holds SLOTS * each rows at most, however many partitions there are."""
+    slot, k = fresh(rows, "_slot", "_k")
+    rows = rows.withColumn(slot, F.spark_partition_id() % SLOTS)
+    for by in (["lang", slot], ["lang"]):
+        rows = rows.withColumn(k, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(k) <= each).drop(k)
+    return rows.drop(slot)
+
+
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """The bounded training sample: rows are chosen by identifier and label alone, then windows of their texts are read."""
     ids = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(
@@ -165,16 +177,14 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     )
     each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, ids.select("lang").distinct().count())))
     hashed = F.xxhash64(F.lit(8), "id")
-    by = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = ids.withColumn("h", hashed).withColumn("k", F.row_number().over(by)).where(F.col("k") <= each).select("id").distinct()
+    chosen = least_of_each(ids.withColumn("h", hashed), each, "h", "id").select("id").distinct()
     # at most SAMPLE_ROWS identifiers, or one a language: a proven bound; rows that share one are counted again
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), "id", "left_semi")
     rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
     spare = F.greatest(F.lit(1), F.char_length("text") - TRAIN_CHARS + 1)
     at = F.pmod(F.xxhash64(F.lit(9), "id"), spare.cast("long")).cast("int") + 1
     rows = rows.select("id", "lang", hashed.alias("h"), F.substr("text", at, F.lit(TRAIN_CHARS)).alias("text"))
-    by = Window.partitionBy("lang").orderBy("h", "id", "text")
-    got = rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= each).select("text", "lang", "id").collect()
+    got = least_of_each(rows, each, "h", "id", "text").select("text", "lang", "id").collect()
     return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.id, r.lang, r.text))]
 
 

@@ -54,10 +54,10 @@ def mix(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), total: float = 1.5
     goal = targets(sizes.select("source", "size"), weights, total, max_epochs)
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))), 256)
     n = sizes.count()
-    # a power of two, up to 2^16 ranges of the order's first four hex digits
-    shift = max(0, 16 - max(0, (n // RANGE_ROWS).bit_length()))
+    # a power of two, up to 2^24 ranges of the order's first six hex digits
+    shift = max(0, 24 - (n // RANGE_ROWS).bit_length())
     ranged = sizes.withColumn("_order", order).withColumn(
-        "_range", F.shiftright(F.conv(F.substring("_order", 1, 4), 16, 10).cast("int"), shift)
+        "_range", F.shiftright(F.conv(F.substring("_order", 1, 6), 16, 10).cast("int"), shift)
     )
     sums = ranged.groupBy("source", "_range").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("_range")) - F.col("words")
