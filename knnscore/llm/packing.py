@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,6 +66,9 @@ class Bins:
         self.lengths, self.limit = lengths.tolist(), limit
         self.bins: list[list[int]] = []
         self.fill: list[int] = []
+        # a bin's lengths, and those of its pairs, since it changed last
+        self._single: dict[int, np.ndarray] = {}
+        self._pair: dict[int, np.ndarray] = {}
 
     def best_fit_decreasing(self) -> None:
         """Pieces, longest first, each into the fullest bin that has room."""
@@ -112,6 +115,9 @@ class Bins:
 
     def _put(self, source: int, others: list[int], room: np.ndarray, k: int, out: int, back: tuple[int, ...]) -> None:
         b = others[k]
+        for changed in (source, b):
+            self._single.pop(changed, None)
+            self._pair.pop(changed, None)
         gain = self.lengths[out] - sum(self.lengths[i] for i in back)
         self.bins[source].remove(out)
         self.bins[b].append(out)
@@ -135,12 +141,24 @@ class Bins:
                 return True
         return False
 
+    def _flat(self, others: list[int], room: np.ndarray, cache: dict[int, np.ndarray], made: Callable[[list[int]], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(bin's place in others, made(its lengths)) over all bins with room, in order; cache holds what was made for unchanged bins."""
+        open_ = np.flatnonzero(room > 0)
+        parts = []
+        for k in open_.tolist():
+            b = others[k]
+            if b not in cache:
+                cache[b] = made([self.lengths[i] for i in self.bins[b]])
+            parts.append(cache[b])
+        if not parts:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.repeat(open_, [len(p) for p in parts]), np.concatenate(parts)
+
     def _exchange(self, source: int, others: list[int], room: np.ndarray) -> bool:
         """The one-for-one exchange that takes most out of the source."""
-        place = [(k, i) for k, b in enumerate(others) if room[k] > 0 for i in self.bins[b]]
-        if not place:
+        at, lens = self._flat(others, room, self._single, _lengths)
+        if not len(at):
             return False
-        at, lens = np.array([k for k, _ in place]), np.array([self.lengths[i] for _, i in place])
         best = (0, None)
         for out in self.bins[source]:
             gain = self.lengths[out] - lens
@@ -151,30 +169,49 @@ class Bins:
         if not best[1]:
             return False
         out, j = best[1]
-        self._put(source, others, room, int(at[j]), out, (place[j][1],))
+        k = int(at[j])
+        back = self.bins[others[k]][j - int(np.searchsorted(at, k))]
+        self._put(source, others, room, k, out, (back,))
         return True
 
     def _exchange_two(self, source: int, others: list[int], room: np.ndarray) -> bool:
-        """One of the source's pieces for two of another bin."""
-        best = (0, None)
-        for k, b in enumerate(others):
-            items = self.bins[b]
-            if room[k] <= best[0] or len(items) < 2:
-                continue
-            for x in range(len(items)):
-                for y in range(x):
-                    two = self.lengths[items[x]] + self.lengths[items[y]]
-                    for out in self.bins[source]:
-                        gain = self.lengths[out] - two
-                        if best[0] < gain <= room[k] and self._raises(source, b, gain):
-                            best = (gain, (k, out, (items[x], items[y])))
-        if not best[1]:
+        """The exchange of one of the source's pieces for two of another bin that takes most out of the source."""
+        at, two = self._flat(others, room, self._pair, _pair_sums)
+        if not len(at):
+            return False
+        room_at, fill_at = room[at], self.limit - room[at]
+        best = (0, 0, None)  # most gain, then the first two, then the first piece
+        for out in self.bins[source]:
+            gain = self.lengths[out] - two
+            gain[(gain > room_at) | (fill_at + gain <= self.fill[source])] = 0
+            j = int(gain.argmax())
+            if gain[j] > best[0] or best[2] is not None and gain[j] == best[0] and j < best[1]:
+                best = (int(gain[j]), j, out)
+        gain, j, out = best
+        if out is None:
             return False
-        k, out, back = best[1]
-        self._put(source, others, room, k, out, back)
+        k = int(at[j])
+        items = self.bins[others[k]]
+        x, y = _pairs(len(items))
+        n = j - int(np.searchsorted(at, k))
+        self._put(source, others, room, k, out, (items[x[n]], items[y[n]]))
         return True
 
 
+def _lengths(lengths: list[int]) -> np.ndarray:
+    return np.array(lengths, dtype=np.int64)
+
+
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.tril_indices(n, -1)
+
+
+def _pair_sums(lengths: list[int]) -> np.ndarray:
+    x, y = _pairs(len(lengths))
+    a = _lengths(lengths)
+    return a[x] + a[y]
+
+
 def pack_group(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset, fill of the bin) of every piece."""
     bins = Bins(lengths, limit)

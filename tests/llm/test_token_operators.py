@@ -1,5 +1,6 @@
 """Token files, packing, repeated strings, near-duplicates and the pipeline: brute force and edge cases."""
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -374,3 +375,32 @@ def test_pipeline(spark):
 def test_queries_cover_all_documents(spark, name):
     want = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert {r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()} == want
+
+
+def test_exchanges_take_the_most_out_of_the_emptiest_bin():
+    r = np.random.default_rng(3)
+    found = {1: 0, 2: 0}
+    for turn in range(300):
+        count = 1 + turn % 2
+        bins = packing.Bins(r.integers(5, 45, 16), 100)
+        bins.bins = [[4 * b + i for i in range(r.integers(0, 5))] for b in range(4)]
+        bins.bins = [items for items in bins.bins if sum(bins.lengths[i] for i in items) <= 100]
+        bins.fill = [sum(bins.lengths[i] for i in items) for items in bins.bins]
+        pieces = sorted(i for items in bins.bins for i in items)
+        under = sorted((b for b in range(len(bins.bins)) if bins.fill[b] < 100), key=lambda b: bins.fill[b])
+        if len(under) < 2:
+            continue
+        source, others = under[0], sorted(under[1:])
+        room = np.array([100 - bins.fill[b] for b in others])
+        gains = [
+            bins.lengths[out] - sum(bins.lengths[i] for i in back)
+            for out in bins.bins[source] for b in others for back in itertools.combinations(bins.bins[b], count)
+            if bins.lengths[out] - sum(bins.lengths[i] for i in back) <= 100 - bins.fill[b]
+        ]
+        most, before = max([0, *gains]), bins.fill[source]
+        assert (bins._exchange if count == 1 else bins._exchange_two)(source, others, room) == (most > 0)
+        assert bins.fill[source] == before - most
+        assert all(bins.fill[b] == sum(bins.lengths[i] for i in items) <= 100 for b, items in enumerate(bins.bins))
+        assert sorted(i for items in bins.bins for i in items) == pieces
+        found[count] += most > 0
+    assert min(found.values()) > 10
