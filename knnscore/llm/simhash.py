@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import components, documents, fresh, table
+from .common import components, documents, fresh, in_place, table
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -148,7 +148,7 @@ def links(members: DataFrame, others: DataFrame, apart: Column, ends: Callable[[
     A pair that meets in several buckets is compared once; `ends` adds the values that `close` reads.
     """
     a = members.select(*(F.col(c).alias(f"a_{c}") for c in members.columns))
-    met = a.join(others, (F.col("a_key") == F.col("b_key")) & apart)
+    met = a.join(in_place(others), (F.col("a_key") == F.col("b_key")) & apart)
     pair = met.select(
         F.least("a_node", "b_node").alias("a_node"), F.greatest("a_node", "b_node").alias("b_node"),
         F.least("a_comp", "b_comp").alias("a"), F.greatest("a_comp", "b_comp").alias("b"),
@@ -166,8 +166,8 @@ def merged(pairs: DataFrame) -> DataFrame | None:
 
 def renamed(named: DataFrame, over: DataFrame) -> DataFrame:
     """named (node, component) after the change of over (old, new); a node without a link so far is a component of its own."""
-    moved = named.join(over, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-    single = over.join(named, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    moved = named.join(in_place(over), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    single = over.join(in_place(named), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
     return moved.union(single)
 
 
@@ -182,28 +182,28 @@ def link(keys: DataFrame, distance: Callable[[str, str], Column], limit: int, pa
     def ends(pairs: DataFrame) -> DataFrame:
         for side in "ab" if payload is not None else "":
             own = payload.select(*(F.col(c).alias(f"{side}_{c}_" if c == "node" else f"{side}_{c}") for c in payload.columns))
-            pairs = pairs.join(own, F.col(f"{side}_node") == F.col(f"{side}_node_")).drop(f"{side}_node_")
+            pairs = pairs.join(in_place(own), F.col(f"{side}_node") == F.col(f"{side}_node_")).drop(f"{side}_node_")
         return pairs
 
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     groups = groups.withColumnRenamed("key", "k")
-    members = table(keys.join(groups, F.col("key") == F.col("k")).select("key", "node", "n", "lo", "hi"), "members")
+    members = table(keys.join(in_place(groups), F.col("key") == F.col("k")).select("key", "node", "n", "lo", "hi"), "members")
     payload = None if payload_of is None else table(payload_of(members.select("node").distinct()), "values")
     large = members.where("n > 3")
     score = large.groupBy("node").agg(F.sum("n").alias("score"))
-    hubs = large.select("key", "node").join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("leader"))
+    hubs = large.select("key", "node").join(in_place(score), "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("leader"))
     pairs = (
         members.select(F.col("node").alias("x"), F.col("lo").alias("y")).union(members.select("node", "hi"))
-        .union(large.select("key", "node").join(hubs, "key").select("node", "leader")).where("x <> y")
+        .union(large.select("key", "node").join(in_place(hubs), "key").select("node", "leader")).where("x <> y")
         .select(F.least("x", "y").alias("a_node"), F.greatest("x", "y").alias("b_node")).distinct()
     )
     found = ends(pairs).where(distance("a", "b") <= limit).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     first = table(components(found), "components")
     named = first.withColumnRenamed("node", "nd")
-    rest = large.select("key", "node").join(named, F.col("node") == F.col("nd"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    rest = large.select("key", "node").join(in_place(named), F.col("node") == F.col("nd"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     rest = table(rest, "rest")
     mixed = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("key").alias("k"))
-    rest = rest.join(mixed, F.col("key") == F.col("k"), "left_semi")
+    rest = rest.join(in_place(mixed), F.col("key") == F.col("k"), "left_semi")
     rest = table(rest, "mixed")
     close = distance("a", "b") <= limit
     # nodes that are their own values are compared where they meet
@@ -219,17 +219,17 @@ def link(keys: DataFrame, distance: Callable[[str, str], Column], limit: int, pa
         if over is None:
             break
         first = table(renamed(first, over), "components")
-        rest = rest.join(over, F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new")
+        rest = rest.join(in_place(over), F.col("comp") == F.col("old"), "left").withColumn("comp", F.coalesce("new", "comp")).drop("old", "new")
         mixed = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("key").alias("k"))
-        rest = table(rest.join(mixed, F.col("key") == F.col("k"), "left_semi"), "mixed")
+        rest = table(rest.join(in_place(mixed), F.col("key") == F.col("k"), "left_semi"), "mixed")
         before, size = size, rest.count()
         if size > (1 - CENTRE_GAIN) * before:
             break
     # what still holds several components: all of a bucket's members meet, with their values, and only links come out
     if payload is not None:
-        rest = table(rest.join(payload.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd")).drop("nd"), "valued")
+        rest = table(rest.join(in_place(payload.withColumnRenamed("node", "nd")), F.col("node") == F.col("nd")).drop("nd"), "valued")
     x, y = (rest.select(*(F.col(c).alias(f"{side}_{c}") for c in rest.columns)) for side in "ab")
-    met = x.join(y, (F.col("a_key") == F.col("b_key")) & (F.col("a_comp") < F.col("b_comp")) & close)
+    met = x.join(in_place(y), (F.col("a_key") == F.col("b_key")) & (F.col("a_comp") < F.col("b_comp")) & close)
     over = merged(met.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
     return first if over is None else renamed(first, over)
 
@@ -239,11 +239,11 @@ def near_components(prints: DataFrame) -> DataFrame:
     reps = table(prints.groupBy("fp").agg(F.min("id").alias("least")), "prints")
     keys = keyed(reps.select(F.col("fp").alias("node"), "fp"), "fp", four_bit_keys, 0)
     linked = link(keys, lambda a, b: F.bit_count(F.col(f"{a}_node").bitwiseXOR(F.col(f"{b}_node"))), MAX_BITS)
-    of = reps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    of = reps.join(in_place(linked), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     of = table(of, "linked")
     least = of.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
-    named = of.join(least, F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select("id", "fp", "component_id")
+    named = of.join(in_place(least), F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id")
+    return prints.join(in_place(named), F.col("fp") == F.col("f")).select("id", "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,11 +348,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sampled = table(sampled_keys(marked, uid, text_col).dropDuplicates(["node"]), "sampled")
 
     def sets(nodes: DataFrame) -> DataFrame:
-        met = marked.select(uid, text_col).join(nodes, F.col(uid) == F.col("node"), "left_semi")
+        met = marked.select(uid, text_col).join(in_place(nodes), F.col(uid) == F.col("node"), "left_semi")
         return shingle_sets(met, uid, text_col).dropDuplicates(["node"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     linked = link(sampled.repartition(parts, "node").select(F.explode("keys").alias("key"), "node"), dissimilar, 0, sets)
     drop = linked.where("node <> component").select("node")
-    drop = table(ids.join(drop, F.col("u") == F.col("node")).groupBy("u").agg(F.min("i").alias("i")).select(F.col("u").alias(gone), F.col("i").alias(at)), "gone")
-    return marked.join(drop, (F.col(uid) == F.col(gone)) & F.col(id_col).eqNullSafe(F.col(at)), "left_anti").select(*docs.columns)
+    drop = table(ids.join(in_place(drop), F.col("u") == F.col("node")).groupBy("u").agg(F.min("i").alias("i")).select(F.col("u").alias(gone), F.col("i").alias(at)), "gone")
+    return marked.join(in_place(drop), (F.col(uid) == F.col(gone)) & F.col(id_col).eqNullSafe(F.col(at)), "left_anti").select(*docs.columns)
