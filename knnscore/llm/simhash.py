@@ -253,13 +253,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Near-duplicates by shingle similarity, for filtering: keys of sampled shingles for candidates, whole sets of shingles to verify.
+# Near-duplicates by shingle similarity, for filtering: SimHash and Golay keys for candidates, whole sets of shingles to verify.
 
 FILTER_WORDS = 5
 #: Documents are linked from this Jaccard similarity of their sets of shingles on: a fraction in lowest terms.
 LEAST_SIMILARITY = (4, 5)
-#: A key stands for BAND_ROWS sampled shingles. Whatever the edits are, two sets of Jaccard similarity j share none of their
-#: keys with a chance of (1 - j ** BAND_ROWS) ** BANDS: 2.7e-5 at 0.8, 3.5e-7 at 0.85.
+#: Fingerprints of samples, and the sampled shingles of each. Whatever the edits are, two sets of Jaccard similarity j have no
+#: sample in common with a chance of (1 - j ** BAND_ROWS) ** BANDS: 2.7e-5 at 0.8, 3.5e-7 at 0.85.
 BANDS, BAND_ROWS = 20, 4
 
 
@@ -312,32 +312,53 @@ def dissimilar(a: str, b: str) -> Column:
     return F.when(F.least(n, m) * den < F.greatest(n, m) * num, 1).when(both * (num + den) >= (n + m) * num, 0).otherwise(1)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of shingles: each is a hash of the least shingles by BAND_ROWS random orders (MinHash)."""
+def samples(hashes: np.ndarray) -> np.ndarray:
+    """(BANDS, BAND_ROWS) of a set of shingles: hashes of the least shingles by as many random orders."""
     orders = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(len(orders), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(hashes), 1024):
         least = np.minimum(least, (hashes[None, i : i + 1024] * orders).min(axis=1))
-    out = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        out = _spread(out, k) ^ least.reshape(BANDS, BAND_ROWS)[:, k]
-    return _spread(out, BAND_ROWS).astype(np.int64)
+    return _spread(least, 0).reshape(BANDS, BAND_ROWS)
 
 
-def sampled_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, keys array of long) of every text."""
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """Of each row, the 64-bit number whose bits are set in over half of its hashes."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(*hashes.shape, 8), axis=2, bitorder="little")
+    most = bits.sum(axis=1, dtype=np.int64) * 2 > hashes.shape[1]
+    return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def sample_keys(prints: np.ndarray) -> np.ndarray:
+    """A key for each row of (n, BANDS) fingerprints of samples: the codewords of two segments of 23 bits, the other 18 bits, the sample's number."""
+    mask = np.uint64((1 << golay.BITS) - 1)
+    codes = [golay.keys(((prints >> np.uint64(at)) & mask).ravel())[:, 0].reshape(prints.shape) for at in (0, golay.BITS)]
+    rest = (prints >> np.uint64(2 * golay.BITS)).astype(np.int64)
+    return np.arange(prints.shape[1]) << 42 | codes[0] << 30 | codes[1] << 18 | rest
+
+
+def shingle_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, fp long, keys array of long) of every text: its set's fingerprint, the keys of its samples' fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [band_keys(shingles(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [shingles(t.as_py()) for t in part.column(1)]
+                fp = np.array([majority(x) for x in sets], dtype=np.uint64).astype(np.int64)
+                sampled = np.array([samples(x) for x in sets], dtype=np.uint64).reshape(-1, BAND_ROWS)
+                keys = sample_keys(majorities(sampled).reshape(-1, BANDS))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "fp", "keys"])
 
-    return docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).mapInArrow(run, "node long, keys array<long>")
+    return docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).mapInArrow(run, "node long, fp long, keys array<long>")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group linked by similar shingles one document stays. All columns are kept.
 
+    Candidates are found as in op10: fingerprints have the majority bits of shingles, and Golay codewords of their segments are
+    the keys. The fingerprint of a whole set has four_bit_keys(): documents connected within MAX_BITS are candidates. Those that
+    differ more meet by fingerprints of samples of their shingles, which agree where the samples do. Every link is verified.
+
     A document is known by a 64-bit hash of its identifier and text, so docs isn't copied; rows that agree in both stay or go
     together. What goes is found by that hash and the identifier: where the hashes of two documents collide, one of them isn't
     compared, and neither goes for the other. Null text counts as empty.
@@ -345,14 +366,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     uid, gone, at = fresh(docs, "uid", "gone", "at")
     marked = docs.withColumn(uid, F.xxhash64(id_col, text_col))
     ids = marked.select(F.col(uid).alias("u"), F.col(id_col).alias("i"))
-    sampled = table(sampled_keys(marked, uid, text_col).dropDuplicates(["node"]), "sampled")
+    prints = table(shingle_prints(marked, uid, text_col).dropDuplicates(["node"]), "shingle-prints")
+    whole = table(near_components(prints.select(F.col("node").alias("id"), "fp")).select(F.col("component_id").alias("key"), F.col("id").alias("node")), "whole")
 
     def sets(nodes: DataFrame) -> DataFrame:
         met = marked.select(uid, text_col).join(in_place(nodes), F.col(uid) == F.col("node"), "left_semi")
         return shingle_sets(met, uid, text_col).dropDuplicates(["node"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    linked = link(sampled.repartition(parts, "node").select(F.explode("keys").alias("key"), "node"), dissimilar, 0, sets)
+    keys = prints.repartition(parts, "node").select(F.explode("keys").alias("key"), "node").union(whole)
+    linked = link(keys, dissimilar, 0, sets)
     drop = linked.where("node <> component").select("node")
     drop = table(ids.join(in_place(drop), F.col("u") == F.col("node")).groupBy("u").agg(F.min("i").alias("i")).select(F.col("u").alias(gone), F.col("i").alias(at)), "gone")
     return marked.join(in_place(drop), (F.col(uid) == F.col(gone)) & F.col(id_col).eqNullSafe(F.col(at)), "left_anti").select(*docs.columns)
